@@ -9,7 +9,14 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per operator; each has QUERIES and ORACLE_SQL.
-MODULES = ("simhash_trie",)
+MODULES = (
+    "simhash_trie",
+    "pu_quality",
+    "url_cascade",
+    "weak_toxicity",
+    "warc_revisit",
+    "simple8b_tokens",
+)
 
 
 def queries() -> dict:

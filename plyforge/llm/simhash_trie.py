@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .graph import components
 from .store import stash, unstash
 
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text") -> DataFra
             out = [fold(text_hashes(t, words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, fp long")
 
@@ -245,6 +247,7 @@ def links(nodes: DataFrame, budget: int = 4, group_limit: int = 200_000) -> Data
         out = np.unique(np.stack([fp[far].view(np.int64), fp[label[far]].view(np.int64)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
 
+    ship(nodes.sparkSession)
     keyed = _keyed(nodes, budget, group_limit).select("mask", "key", "fp")
     return keyed.repartition(F.col("mask"), F.col("key")).mapInArrow(run, "u long, v long")
 
