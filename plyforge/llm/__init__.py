@@ -16,6 +16,10 @@ MODULES = (
     "weak_toxicity",
     "warc_revisit",
     "simple8b_tokens",
+    "decontaminate_simhash",
+    "bloom_lm",
+    "sentencepiece_nbest",
+    "segment_topk",
 )
 
 

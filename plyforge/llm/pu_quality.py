@@ -126,7 +126,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, hi
                 dp, du = prior * sp * share_p, -su * share_u
         g = [a + b for a, b in zip(grads(pos, dp, hp), grads(unl, du, hu), strict=True)]
         for i, a in enumerate(g):
-            a = a + 1e-4 * w[i]
+            a = a + (1e-4 + 1 / (len(pos) + len(unl))) * w[i]
             first[i] = 0.9 * first[i] + 0.1 * a
             second[i] = 0.999 * second[i] + 0.001 * a * a
             w[i] = w[i] - 0.02 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
