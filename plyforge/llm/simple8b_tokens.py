@@ -23,8 +23,8 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,36 +40,71 @@ TRAILER = "\n8S8B\n"
 BLOCK, SEGMENT_IDS = 4096, 1 << 20
 #: (ids, bits) of selectors 1 to 15; selector 0 is the escape, 1 a run of zeros.
 PACKINGS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-_ESCAPE_FROM = 1 << 60
+
+
+#: Ids that a selector's word holds.
+_COUNTS = np.array([1, *(c for c, _ in PACKINGS)], dtype=np.uint8)
+
+
+#: Bits of numbers below 65536.
+_SHORT = np.ceil(np.log2(np.arange(65536) + 1)).astype(np.uint8)
+
+
+def _widths(v: np.ndarray) -> np.ndarray:
+    """Bits that each number needs; 64 for those that only an escape can hold."""
+    out = _SHORT[np.minimum(v, 65535).astype(np.int32)]
+    long = np.flatnonzero(v > 65535)
+    if len(long):
+        w = v[long]
+        at = np.full(len(long), 17, np.uint8)
+        for bits in (20, 30, 60):
+            at[w >> np.uint64(bits) != 0] = bits + 1 if bits < 60 else 64
+        out[long] = at
+    return out
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned ids: greedy, each word taking
-    the selector that holds most of the ids that are left in the block."""
-    v = np.ascontiguousarray(ids, dtype=np.uint64)
-    n = len(v)
+    the selector that holds most of the ids that are left in the block.
+
+    Blocks are laid out with zeros behind them, so a selector fits wherever the
+    widest of the next ``count`` numbers fits; those maxima come from two windows of
+    a power of two."""
+    n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(n)
-    left = np.minimum((at // block + 1) * block, n) - at
-    choice, step = np.zeros(n, np.int8), np.ones(n, np.int64)
-    open_ = np.ones(n, bool)
-    for selector, (count, bits) in enumerate(PACKINGS, 1):
-        bad = np.flatnonzero(v >> np.uint64(bits)) if bits < 60 else np.flatnonzero(v >= _ESCAPE_FROM)
-        fits = np.r_[bad, n][np.searchsorted(bad, at)] - at
-        take = np.minimum(count, left)
-        hit = open_ & (fits >= take)
-        choice[hit], step[hit] = selector, take[hit]
-        open_ &= ~hit
-    jumps, starts, i = step.tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i += jumps[i]
+    blocks, room = -(-n // block), max(c for c, _ in PACKINGS)
+    v = np.zeros((blocks, block + room), np.uint64)
+    whole = n // block * block
+    v[: n // block, :block] = np.reshape(ids[:whole], (-1, block))
+    if whole < n:
+        v[-1, : n - whole] = ids[whole:]
+    v = v.ravel()
+    widest = {1: _widths(v)}  # by window length
+    choice = np.zeros(len(v), np.uint8)
+    size = 1
+    for selector in range(len(PACKINGS), 0, -1):  # from few wide ids to many narrow ones
+        count, bits = PACKINGS[selector - 1]
+        while 2 * size <= count:
+            w = widest[size]
+            widest[2 * size] = np.maximum(w, np.r_[w[size:], np.zeros(size, np.uint8)])
+            size *= 2
+        w, lag = widest[size], count - size
+        top = np.maximum(w, np.r_[w[lag:], np.zeros(lag, np.uint8)]) if lag else w
+        choice[top <= bits] = selector
+    jumps, starts, firsts = _COUNTS[choice].tobytes(), [], []
+    for b in range(blocks):
+        firsts.append(len(starts))
+        i = b * (block + room)
+        end = i + min(block, n - b * block)
+        while i < end:
+            starts.append(i)
+            i += jumps[i]
     starts = np.array(starts)
     chosen = choice[starts]
-    size = np.where(chosen == 0, 2, 1)
-    place = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
+    place = np.cumsum(np.where(chosen == 0, 2, 1))
+    place -= np.where(chosen == 0, 2, 1)
+    words = np.zeros(int(place[-1]) + (2 if chosen[-1] == 0 else 1), np.uint64)
     for selector, (count, bits) in enumerate(PACKINGS, 1):
         own = np.flatnonzero(chosen == selector)
         if not len(own):
@@ -78,13 +113,11 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         word = np.full(len(own), selector << 60, dtype=np.uint64)
         if bits:
             for k in range(count):
-                inside = step[first] > k
-                word |= np.where(inside, v[np.minimum(first + k, n - 1)], 0).astype(np.uint64) << np.uint64(k * bits)
+                word |= v[first + k] << np.uint64(k * bits)
         words[place[own]] = word
     raw = np.flatnonzero(chosen == 0)
     words[place[raw] + 1] = v[starts[raw]]
-    firsts = place[np.searchsorted(starts, np.arange(0, n, block))]
-    return words, firsts.astype(np.uint64)
+    return words, place[firsts].astype(np.uint64)
 
 
 def unpack(words: np.ndarray, firsts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -183,36 +216,55 @@ _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xb
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+")
 
 
+def _byte_marks() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte:
+    printable ones stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Ids by run of lower-cased non-blanks, as bytes. A run that isn't there yet is
+    split into words, which the library's model merges; at ``most`` runs the table
+    starts anew."""
+
+    def __init__(self, model, most: int):
+        self.model, self.most, self.marks = model, most, _byte_marks()
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        merge = self.model.tokenize
+        found = array("I")
+        for word in _SPLIT.findall(run):
+            found.extend([p.id for p in merge(word.encode("utf-8").decode("latin-1").translate(self.marks))])
+        ids = found.tobytes()
+        if len(run) <= 64:
+            self[run] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes whole texts as the tokenizers library does. In a vocabulary file
     that splits texts into words first and merges within each, a word's ids don't
-    depend on its neighbours: distinct words of plain texts are encoded by the
-    library once and kept (at most ``most`` of them); any other text, and any
+    depend on its neighbours: distinct runs of non-blanks in plain texts are merged
+    by the library once and kept (at most ``most`` of them); any other text, and any
     other kind of file, goes to the library whole."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.most = most
         self.split = os.path.basename(path) == "word_bpe_49k.json"
+        self.words = _Known(self.tokenizer.model, most)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         if not self.split or "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint64)
-        words = _SPLIT.findall(text.lower())
-        known = self.words
-        missing = list(set(words).difference(known))
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            known.update(zip(missing, (tuple(e.ids) for e in found), strict=True))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.uint64)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -235,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, f
 
     def run(batches):
         encode = encoder(vocabulary).encode
-        stop = np.array([end_id], np.uint64)
+        stop = np.array([end_id], "<u4")
 
         def each():
             for batch in batches:
