@@ -11,7 +11,7 @@ NAMES = {"P": "pawn", "N": "knight", "B": "bishop", "R": "rook", "Q": "queen", "
 # Bounds of plies: to 30 opening, to 70 middlegame.
 PHASES = ((30, "opening"), (70, "middlegame"))
 # Upper bounds of |cp| and their labels.
-EVAL_BUCKETS = ((50, "equal"), (150, "slightly better"), (300, "clearly better"), (600, "winning"))
+EVAL_BUCKETS = ((50, "equal"), (150, "slight edge"), (300, "clear advantage"), (600, "winning"))
 # Fixed values end.
 
 

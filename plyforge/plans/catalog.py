@@ -707,3 +707,13 @@ def legality_reasons(spark, sf):
 
     moves = F.explode(F.array(*[F.lit(m) for m in ("e1g1", "e2e4", "e2e5", "e7e5", "a7a8", "a7a8q", "zz", "e1e2", "d4e3")]))
     return _positions(spark).select("fen", moves.alias("move")).select("fen", "move", U.legality_reason(F.col("fen"), F.col("move")).alias("reason"))
+
+
+@query()
+def task_rows(spark, sf):
+    """Every board task on every position, without one blocked position."""
+    from ..functions.answers import TASKS
+    from ..operators import generators
+
+    blocked = _positions(spark).limit(1).select(K.position_fields(F.col("fen")).alias("pos_key"))
+    return generators.task_rows(_positions(spark), sorted(TASKS), blocked)
