@@ -8,9 +8,9 @@ p(w | v) = (c(v, w) + k * p(w)) / (c(v) + k), p(w) = (c(w) + 1) / (N + V + 1).
 
 Counting: each batch of texts merges its own n-grams and deals them, as packed
 keys, to segments of a hash space; a segment's task adds up the counts and fills its
-own part of the filter. The number of segments follows the number of training
-tokens, so no task holds more than ``SEGMENT_TOKENS`` keys' worth, however frequent
-a word is. The filter grows with the corpus. It is broadcast in shards of at most
+own part of the filter, beside the exact counts of its words. The number of segments
+follows the size of the training texts, so a task's share is the same at any size,
+however frequent a word is. The filter grows with the corpus. It is broadcast in shards of at most
 ``max_filter_bytes``; with more than one shard the texts pass the shards in turn and
 carry the levels found so far, so that memory stays bounded at any corpus size.
 
@@ -34,7 +34,10 @@ from .store import stash
 
 #: Stand for the end of a text and for what is before it; words hold no blank.
 END, START = b" ", b"  "
-SEGMENT_TOKENS = 2_000_000
+#: Bytes of training text for each segment; some two million tokens.
+SEGMENT_BYTES = 12 << 20
+#: Characters of texts that a scoring task takes at a time.
+SLICE_CHARS = 3_000_000
 BITS_PER_ENTRY, HASHES, LEVELS = 8, 4, 40
 _KEY = np.uint64((1 << 48) - 1)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -123,14 +126,14 @@ def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Segments [first, first + n) of a filter."""
+    """Segments [first, first + len(sizes)) of a filter: their bytes, one after another."""
 
-    def __init__(self, segments: int, first: int, parts: list[bytes]):
-        self.segments, self.first, self.n = segments, first, len(parts)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.bits = (sizes * 8).astype(np.uint64)
-        self.start = np.cumsum(sizes) - sizes
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
+    def __init__(self, segments: int, first: int, sizes: list[int], data: bytes):
+        self.segments, self.first, self.n = segments, first, len(sizes)
+        own = np.array(sizes, dtype=np.int64)
+        self.bits = (own * 8).astype(np.uint64)
+        self.start = np.cumsum(own) - own
+        self.data = np.frombuffer(data, np.uint8)
 
     def levels(self, keys: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         """The level of each key; keys of other shards keep what is known of them."""
@@ -151,21 +154,6 @@ class Shard:
         return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): the exact number of each token's occurrences in docs(text)."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            hashes, places, _ = tokens(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(np.bincount(places, minlength=len(hashes)).astype(np.int64))], ["h", "n"]
-            )
-
-    kept = docs.select(F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
-
-
 def _pack(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -176,47 +164,76 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def build_filter(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, int]:
-    """((segment, n_keys, data), number of segments) of a filter of the words and
-    pairs of docs(text), which have n_tokens tokens."""
+def build_filter(docs: DataFrame) -> tuple[DataFrame, int]:
+    """((segment, n_tokens, n_words, data, words, word_counts), number of segments) for
+    the words and pairs of docs(text): the filter's bytes, and the hashes and exact
+    counts of the segment's words."""
     ship(docs.sparkSession)
-    segments = max(1, -(-n_tokens // SEGMENT_TOKENS))
+    size = docs.agg(F.sum(F.octet_length("text") + 6).alias("b")).first()["b"] or 0
+    segments = max(1, -(-size // SEGMENT_BYTES))
 
     def deal(batches):
         for batch in batches:
             hashes, places, sizes = tokens(batch.column(0).to_pylist())
             if not len(sizes):
                 continue
-            pairs, n = np.unique(pair_keys(histories(hashes, places, sizes), hashes[places]), return_counts=True)
-            keys = np.concatenate((word_keys(hashes), word_keys(np.array([_START])), pairs))
-            counts = np.concatenate((np.bincount(places, minlength=len(hashes)), [len(sizes)], n))
+            keys, n = np.unique(pair_keys(histories(hashes, places, sizes), hashes[places]), return_counts=True)
+            keys, n = np.r_[keys, word_keys(np.array([_START]))], np.r_[n, len(sizes)]
             seg = segment_of(keys, segments)
             order = np.argsort(seg, kind="stable")
-            keys, counts, seg = keys[order], counts[order], seg[order]
-            cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            for a, b in zip(cut, np.r_[cut[1:], len(seg)], strict=True):
-                k, c = keys[a:b], counts[a:b]
-                once = c == 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(seg[a])], pa.int32()), pa.array([_pack(k[once])], pa.binary()),
-                        pa.array([_pack(k[~once])], pa.binary()), pa.array([c[~once].astype("<u4").tobytes()], pa.binary()),
-                    ],
-                    ["segment", "once", "more", "counts"],
-                )
+            keys, n, seg = keys[order], n[order], seg[order]
+            own, counts = segment_of(word_keys(hashes), segments), np.bincount(places, minlength=len(hashes)).astype("<u4")
+            order = np.argsort(own, kind="stable")
+            words, counts, own = hashes[order], counts[order], own[order]
+            for s in np.union1d(seg, own):
+                a, b = np.searchsorted(seg, [s, s + np.uint64(1)])
+                c, d = np.searchsorted(own, [s, s + np.uint64(1)])
+                k, m = keys[a:b], n[a:b]
+                once = m == 1
+                cells = [_pack(k[once]), _pack(k[~once]), m[~once].astype("<u4").tobytes(), words[c:d].astype("<u8").tobytes(), counts[c:d].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], _DEALT)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        words, word_counts = _sum(read("words", "<u8").astype(np.uint64), read("word_counts", "<u4"))
         once, more = _unpack(b"".join(pdf["once"])), _unpack(b"".join(pdf["more"]))
-        n = np.r_[np.ones(len(once), np.int64), np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64)]
-        keys = np.concatenate((once, more))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(n, first) if len(first) else n
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "n_keys": [len(first)], "data": [fill(keys[first], counts).tobytes()]})
+        keys, counts = _sum(
+            np.concatenate((once, more, word_keys(words) & _KEY)), np.concatenate((np.ones(len(once), np.int64), read("counts", "<u4"), word_counts))
+        )
+        return pd.DataFrame(
+            {
+                "segment": [pdf["segment"].iloc[0]], "n_tokens": [int(word_counts.sum())], "n_words": [len(words)],
+                "data": [fill(keys, counts).tobytes()], "words": [words.astype("<u8").tobytes()], "word_counts": [word_counts.astype("<i8").tobytes()],
+            }
+        )
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "segment int, once binary, more binary, counts binary, words binary, word_counts binary")
+    filled = dealt.groupBy("segment").applyInPandas(gather, "segment int, n_tokens long, n_words long, data binary, words binary, word_counts binary")
+    return stash(filled, "filter"), segments
+
+
+_DEALT = ["segment", "once", "more", "counts", "words", "word_counts"]
+
+
+def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first)
 
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "segment int, once binary, more binary, counts binary")
-    return stash(dealt.groupBy("segment").applyInPandas(gather, "segment int, n_keys long, data binary"), "filter"), segments
+
+def word_counts(filled: DataFrame) -> DataFrame:
+    """(h, c): the exact number of each word's occurrences, from build_filter's table."""
+
+    def run(batches):
+        for batch in batches:
+            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], ["h", "c"])
+
+    return filled.select("words", "word_counts").mapInArrow(run, "h long, c long")
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,14 +265,12 @@ def score_texts(
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learned = docs.filter(training)
-    counts = stash(count_words(learned), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_train, base = total["n"] or 0, (total["n"] or 0) + total["v"] + 1
+    filled, segments = build_filter(docs.filter(training))
+    counts = stash(word_counts(filled), "counts")
+    total = filled.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v")).first()
+    n_train, base = total["n"] or 0, (total["n"] or 0) + (total["v"] or 0) + 1
     seen_h, seen_c = frequent_words(counts, frequent)
     table = spark.sparkContext.broadcast((seen_h, seen_c))
-
-    filled, segments = build_filter(learned, n_train)
     sizes = {r["segment"]: r["n"] for r in filled.select("segment", F.octet_length("data").alias("n")).collect()}
     shards: list[list[int]] = [[]]
     held = 0
@@ -267,8 +282,9 @@ def score_texts(
         held += sizes.get(s, 8)
 
     def send(own: list[int]):
-        got = {r["segment"]: bytes(r["data"]) for r in filled.filter(F.col("segment").between(own[0], own[-1])).toLocalIterator()}
-        return spark.sparkContext.broadcast((segments, own[0], [got.get(s, bytes(8)) for s in own]))
+        got = {r["segment"]: bytes(r["data"]) for r in filled.filter(F.col("segment").between(own[0], own[-1])).select("segment", "data").toLocalIterator()}
+        parts = [got.pop(s, bytes(8)) for s in own]
+        return spark.sparkContext.broadcast((segments, own[0], [len(p) for p in parts], b"".join(parts)))
 
     rows = docs.withColumn("levels", F.lit(None).cast("binary"))
     for own in shards[:-1]:
@@ -290,42 +306,64 @@ def score_texts(
 _MARKED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, n long"
 
 
+def _slices(texts: list[str | None]):
+    """Ranges of texts of about SLICE_CHARS characters, one text at least."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > SLICE_CHARS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _probe(shard: Shard, texts: list, levels: list) -> tuple:
-    """Tokens of a batch and their levels: of the token, its history and the pair."""
+    """Tokens of texts and their levels: of the token, its history and the pair."""
     hashes, places, sizes = tokens(texts)
+    here = hashes[places]
     before = histories(hashes, places, sizes)
-    carried = [np.frombuffer(b"".join(levels), np.uint8).reshape(-1, 3)[:, i] for i in range(3)] if levels and levels[0] is not None else [None] * 3
-    if carried[0] is None:
-        word = shard.levels(word_keys(hashes))[places]
+    if levels[0] is None:
+        word, word_known, pair_known = shard.levels(word_keys(hashes))[places], None, None
+        start_known = None
     else:
-        word = shard.levels(word_keys(hashes)[places], carried[0])
-    past = shard.levels(word_keys(before), carried[1])
-    pair = shard.levels(pair_keys(before, hashes[places]), carried[2])
-    return hashes, places, sizes, word, past, pair
+        word_known, past_known, pair_known = (np.frombuffer(b"".join(levels), np.uint8).reshape(-1, 3)[:, i] for i in range(3))
+        word, start_known = shard.levels(word_keys(here), word_known), past_known[:1]
+    # a token's history is the token before it, or the start
+    past = np.r_[np.zeros(1, np.uint8), word[:-1]]
+    past[np.cumsum(sizes) - sizes] = shard.levels(word_keys(before[:1]), start_known)[0]
+    return hashes, places, sizes, word, past, shard.levels(pair_keys(before, here), pair_known)
 
 
 def _pass(sent):
     def run(batches):
         shard = Shard(*sent.value)
         for batch in batches:
-            _, _, sizes, *found = _probe(shard, batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            raw, stop = np.stack(found, 1), np.cumsum(sizes)
-            packed = [raw[a:b].tobytes() for a, b in zip(stop - sizes, stop, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text", "levels"])
+            texts, levels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for part in _slices(texts):
+                _, _, sizes, *found = _probe(shard, texts[part], levels[part])
+                raw, stop = np.stack(found, 1), np.cumsum(sizes)
+                packed = [raw[a:b].tobytes() for a, b in zip(stop - sizes, stop, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], batch.column(1)[part.start : part.stop], pa.array(packed, pa.binary())], ["doc_id", "text", "levels"])
 
     return run
 
 
+def _cut(batches):
+    for batch in batches:
+        texts, levels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for part in _slices(texts):
+            yield batch.column(0)[part.start : part.stop], texts[part], levels[part]
+
+
 def _last(sent, table, base: int, prior: float):
     def run(batches):
         shard = Shard(*sent.value)
         seen_h, seen_c = table.value
         # rows are numbered within their partition, which a repeated task reads in the same order
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes, places, sizes, word, past, pair = _probe(shard, batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        for ids, texts, levels in _cut(batches):
+            hashes, places, sizes, word, past, pair = _probe(shard, texts, levels)
             starts = np.cumsum(sizes) - sizes
             unigram = (count_of(word) + 1) / base
             logs = np.log10((count_of(pair) + prior * unigram) / (count_of(past) + prior))
@@ -344,7 +382,7 @@ def _last(sent, table, base: int, prior: float):
             null = pa.nulls(n_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows), batch.column(0), pa.array(sizes), pa.array(np.add.reduceat(token_hit.astype(np.int64), starts)),
+                    pa.array(rows), ids, pa.array(sizes), pa.array(np.add.reduceat(token_hit.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(part, starts)), pa.array(score), null, null,
                 ],
                 _NAMES,

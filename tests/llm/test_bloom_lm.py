@@ -67,7 +67,8 @@ def test_scores_follow_exact_counts(spark):
 
 
 def test_shards_in_turn_give_the_same_scores(spark, monkeypatch):
-    monkeypatch.setattr(L, "SEGMENT_TOKENS", 2000)
+    monkeypatch.setattr(L, "SEGMENT_BYTES", 10_000)
+    monkeypatch.setattr(L, "SLICE_CHARS", 500)
     one = L.score_texts(docs(spark), ~held_out(7, 2)).collect()
     many = L.score_texts(docs(spark), ~held_out(7, 2), max_filter_bytes=6000).collect()
     key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["score"])
@@ -78,7 +79,8 @@ def test_levels_are_read_back():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     counts = rng.geometric(0.05, len(keys))
-    shard = L.Shard(1, 0, [L.fill(keys & L._KEY, counts).tobytes()])
+    data = L.fill(keys & L._KEY, counts).tobytes()
+    shard = L.Shard(1, 0, [len(data)], data)
     got = shard.levels(keys)
     want = L.levels_of(counts)
     assert (got >= want).all() and np.mean(got > want) < 0.06
