@@ -127,14 +127,16 @@ def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
         .select("doc_id", "start", "size", "k", F.slice("w", F.col("start") + 1, F.col("size")).alias("window"))
         .filter(F.size("window") >= F.col("k"))
     )
-    return _fingerprinted(opened, "window")
+    return _fingerprinted(stash(opened, "windows"), "window")
 
 
 def _fingerprinted(df: DataFrame, words: str) -> DataFrame:
+    """df with the fingerprint of its column ``words``. The hashes are written out
+    first: inlined, they would be computed again for each of the 64 bits."""
     hashed = F.when(F.lit(False), shingle_hashes(F.col(words), 1))
     for k in range(1, SHINGLE + 1):
         hashed = hashed.when(F.col("k") == k, shingle_hashes(F.col(words), k))
-    return df.withColumn("_hashes", hashed).withColumn("fp", simhash("_hashes")).drop("_hashes")
+    return stash(df.withColumn("_hashes", hashed), "hashes").withColumn("fp", simhash("_hashes")).drop("_hashes")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 16) -> DataFrame:
@@ -156,11 +158,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     right = marked.select("item_id", "size", "item_words", "item_fp", _blocks("item_fp", masks).alias("b")).select("*", "b.block", "b.part").drop("b")
     differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair that agrees on several blocks is taken at the first
-    pairs = (
+    near = (
         left.join(right, ["size", "block", "part"])
         .filter((F.bit_count(differing) <= radius) & (_first_block(differing, masks) == F.col("block")))
-        .withColumn("distance", F.bit_count(differing).cast("int"))
-        .withColumn("a", shingles(F.col("window"), F.col("k"))).withColumn("b", shingles(F.col("item_words"), F.col("k")))
+        .select(
+            "doc_id", "item_id", "start", F.bit_count(differing).cast("int").alias("distance"),
+            shingles(F.col("window"), F.col("k")).alias("a"), shingles(F.col("item_words"), F.col("k")).alias("b"),
+        )
+    )
+    pairs = (
+        stash(near, "near")  # as the hashes: the shingles would be made again for each comparison
         .withColumn("common", overlap(F.col("a"), F.col("b")))
         .withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))
         .filter(F.col("similarity") >= similarity)
