@@ -31,6 +31,18 @@ def with_rank(df: DataFrame, keys: list[str], order: Column, name: str, bucket:
     )
 
 
+def with_running_sum(df: DataFrame, order: Column, value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows up to each in a hash order, itself
+    included; as in with_rank, buckets are summed up first."""
+    marked = df.withColumn("_order", order).withColumn("_bucket", radix(F.col("_order")))
+    sums = marked.groupBy("_bucket").agg(F.sum(value).alias("_n"))
+    run = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    before = sums.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
+    joined = marked.join(before, marked["_bucket"] == before["_b"])
+    return joined.withColumn(name, F.col("_before") + inside).drop("_order", "_bucket", "_b", "_before")
+
+
 def number_bucket(column: str, width: int) -> Column:
     """Buckets of ``width`` consecutive numbers."""
     return F.floor(F.col(column) / width)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order
-from ..ship import ship
-from .ranking import with_rank
+from ..store import stash
+from .ranking import with_rank, with_running_sum
 
 
 def stratified_sample(df: DataFrame, split: str, key: str, text: str, n: int, seed: int) -> DataFrame:
@@ -50,30 +49,26 @@ def split_by_key(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 
 
 def greedy_keys(counts: DataFrame, key: str, task: str, n: str, share: float, seed: int) -> DataFrame:
-    """(task, key) of the eval keys chosen task by task, in one pass over the table of
-    counts per task and key: hash order within a task until its share of rows is
-    reached; a key that overshoots is taken if that misses the share by no more than
-    leaving it out; keys chosen for an earlier task count for later ones. Keys are
-    dealt to 64 ranges of their hash, each of which is filled for itself, so no task
-    holds more than a range's counts."""
-    ship(counts.sparkSession)
-    marked = counts.select(F.col(key).cast("string").alias("k"), F.col(task).alias("t"), F.col(n).cast("long").alias("n"))
-    marked = marked.withColumn("o", hash_order(seed, "k")).withColumn("range", F.pmod(F.xxhash64("k"), F.lit(64)))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: dict[str, str] = {}
-        for t in sorted(pdf["t"].unique(), key=lambda t: (pdf.loc[pdf["t"] == t, "n"].sum(), t)):
-            own = pdf[pdf["t"] == t].sort_values("o")
-            goal, got = own["n"].sum() * share, own.loc[own["k"].isin(chosen), "n"].sum()
-            for k, m in zip(own["k"], own["n"], strict=True):
-                if k in chosen or got >= goal:
-                    continue
-                if got + m - goal <= goal - got:
-                    chosen[k] = t
-                    got += m
-        return pd.DataFrame({"key": list(chosen), "task": list(chosen.values())}, dtype=object)
-
-    return marked.groupBy("range").applyInPandas(choose, "key string, task string")
+    """(key, task) of the eval keys, chosen task by task from the smallest on: in hash
+    order until the task's share of rows is reached; the key that would pass it is
+    taken if it overshoots by no more than leaving it out falls short. Keys chosen for
+    an earlier task count for later ones. Tasks are few; keys may be any number."""
+    spark = counts.sparkSession
+    rows = counts.select(F.col(key).cast("string").alias("key"), F.col(task).alias("task"), F.col(n).cast("long").alias("n")).filter("key is not null")
+    totals = rows.groupBy("task").agg(F.sum("n").alias("total")).collect()
+    chosen = spark.createDataFrame([], "key string, task string")
+    for t in sorted(totals, key=lambda r: (r["total"], str(r["task"]))):
+        own = rows.filter(F.col("task").eqNullSafe(F.lit(t["task"])))
+        taken = own.join(chosen.select("key"), "key", "left_semi").agg(F.sum("n")).first()[0] or 0
+        goal = t["total"] * share - taken
+        if goal <= 0:
+            continue
+        rest = own.join(chosen.select("key"), "key", "left_anti")
+        summed = with_running_sum(rest, hash_order(seed, "key"), "n", "upto")
+        before = F.col("upto") - F.col("n")
+        fits = (before < goal) & (F.col("upto") - goal <= goal - before)
+        chosen = stash(chosen.unionByName(summed.filter(fits).select("key", F.col("task").cast("string").alias("task"))), "keys")
+    return chosen
 
 
 def labels_of(conditions: list[tuple[Column, str]]) -> Column:
