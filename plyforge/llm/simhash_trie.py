@@ -95,74 +95,91 @@ class _Forest:
                 return
             a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
             np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+            # the roots that were hooked, then whoever pointed to them
             while True:
                 nxt = label[label]
-                if np.array_equal(nxt, label):
+                if (nxt == label).all():
                     break
                 label[:] = nxt
 
 
+def _uniform(label: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether all labels in each range are the same."""
+    ends = np.stack([lo, hi], 1).ravel()
+    padded = np.r_[label, 0]
+    return np.minimum.reduceat(padded, ends)[::2] == np.maximum.reduceat(padded, ends)[::2]
+
+
+def _members(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all ranges, and the number of the range of each."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo[of], of
+
+
 def trie_forest(fps: np.ndarray, group: np.ndarray, budget: int, step: int = 200_000) -> np.ndarray:
     """Labels of fps (unsigned, sorted by group, then value, distinct within a
     group): two positions share a label if links of at most ``budget`` bits
     within their group join them. Node pairs are ranges of the sorted array and
-    descend one bit at a time, ``step`` pairs together."""
+    descend one bit at a time, at most ``step`` pairs together."""
     n = len(fps)
     forest = _Forest(n)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, dtype=np.int64)
     ends = np.r_[starts[1:], n] if n else starts
     several = ends - starts > 1
     starts, ends = starts[several], ends[several]
-    zero = np.zeros(len(starts), dtype=np.int64)
-    work = [(starts, ends, starts, ends, zero, zero)] if len(starts) else []
+    # (lows and highs of both nodes, errors); all pairs of one entry stand at its depth
+    work = [(np.stack([starts, ends, starts, ends, np.zeros(len(starts), dtype=np.int64)]), 0)] if len(starts) else []
     while work:
-        alo, ahi, blo, bhi, err, depth = work.pop()
-        if len(alo) > step:
-            half = len(alo) // 2
-            work.append(tuple(x[:half] for x in (alo, ahi, blo, bhi, err, depth)))
-            work.append(tuple(x[half:] for x in (alo, ahi, blo, bhi, err, depth)))
+        pairs, depth = work.pop()
+        if pairs.shape[1] > step:
+            half = pairs.shape[1] // 2
+            work += [(pairs[:, :half], depth), (pairs[:, half:], depth)]
             continue
+        alo, ahi, blo, bhi, err = pairs
         label = forest.label
         # a pair whose two ranges are known to be one class has nothing to add
-        la, lb = label[alo], label[blo]
-        known = (la == lb) & (label[ahi - 1] == la) & (label[bhi - 1] == la)
-        if known.any():
-            for i in np.flatnonzero(known):
-                known[i] = (label[alo[i] : ahi[i]] == la[i]).all() and (label[blo[i] : bhi[i]] == la[i]).all()
+        go = np.ones(len(alo), dtype=bool)
+        known = np.flatnonzero((label[alo] == label[blo]) & (label[ahi - 1] == label[alo]) & (label[bhi - 1] == label[alo]))
+        if len(known):
+            known = known[_uniform(label, alo[known], ahi[known]) & _uniform(label, blo[known], bhi[known])]
+            go[known] = False
         # the bits that are left fit in the budget: all of both ranges link, so a star says it
-        whole = ~known & (err + (BITS - depth) <= budget)
-        for i in np.flatnonzero(whole):
-            members = np.r_[alo[i] : ahi[i], blo[i] : bhi[i]]
-            forest.link(members, np.full(len(members), alo[i]))
-        single = ~known & ~whole & (ahi - alo == 1) & (bhi - blo == 1)
-        if single.any():
+        whole = np.flatnonzero(go & (err + (BITS - depth) <= budget))
+        if len(whole):
+            for lo, hi in ((alo, ahi), (blo, bhi)):
+                members, of = _members(lo[whole], hi[whole])
+                forest.link(members, alo[whole][of])
+            go[whole] = False
+        single = np.flatnonzero(go & (ahi - alo == 1) & (bhi - blo == 1))
+        if len(single):
             a, b = alo[single], blo[single]
             near = (a != b) & (popcount(fps[a] ^ fps[b]) <= budget)
             forest.link(a[near], b[near])
-        go = ~(known | whole | single)
+            go[single] = False
         if not go.any():
             continue
-        alo, ahi, blo, bhi, err, depth = (x[go] for x in (alo, ahi, blo, bhi, err, depth))
+        alo, ahi, blo, bhi, err = pairs[:, go]
         same = alo == blo
         amid, bmid = _split(fps, alo, ahi, depth), _split(fps, blo, bhi, depth)
-        nxt = depth + 1
-        kids = [
-            (alo, amid, blo, bmid, err, nxt, np.ones(len(alo), bool)),
-            (amid, ahi, bmid, bhi, err, nxt, np.ones(len(alo), bool)),
-            (alo, amid, bmid, bhi, err + 1, nxt, err + 1 <= budget),
-            (amid, ahi, blo, bmid, err + 1, nxt, (err + 1 <= budget) & ~same),
-        ]
-        for a0, a1, b0, b1, e, d, ok in kids:
-            ok = ok & (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 == 1))
-            if ok.any():
-                work.append(tuple(x[ok] for x in (a0, a1, b0, b1, e, d)))
+        kids = np.concatenate(
+            [
+                np.stack([alo, amid, blo, bmid, err]), np.stack([amid, ahi, bmid, bhi, err]),
+                np.stack([alo, amid, bmid, bhi, err + 1]), np.stack([amid, ahi, blo, bmid, err + 1])[:, ~same],
+            ],
+            axis=1,
+        )
+        a0, a1, b0, b1, e = kids
+        kids = kids[:, (e <= budget) & (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 == 1))]
+        if kids.shape[1]:
+            work.append((kids, depth + 1))
     return forest.label
 
 
-def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
+def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
     """First position in [lo, hi) whose bit at depth (from the top) is 1: the
     range is sorted and agrees above that bit, so a binary search finds it."""
-    shift = (BITS - 1 - depth).astype(np.uint64)
+    shift = np.uint64(BITS - 1 - depth)
     lo, hi = lo.copy(), hi.copy()
     one = np.uint64(1)
     while True:
@@ -199,17 +216,17 @@ def _keyed(nodes: DataFrame, budget: int, group_limit: int) -> DataFrame:
     parts = []
     open_masks = masks
     while True:
-        sizes = level.groupBy("mask", "key").count().filter(F.col("count") > group_limit)
+        # a mask that leaves a few bits open has small groups whatever the texts are
+        wide = [m for m in open_masks if 64 - m.bit_count() > budget + 2]
+        sizes = level.groupBy("mask", "key").count().filter((F.col("count") > group_limit) & F.col("mask").isin([_signed(m) for m in wide]))
         hot = stash(sizes.select("mask", "key"), "hot")
         if hot.isEmpty():
             unstash(hot)
             return _union([*parts, level])
         parts.append(level.join(hot, ["mask", "key"], "left_anti"))
         finer, cases = [], None
-        for m in open_masks:
+        for m in wide:
             rest = [i for i in range(BITS) if not m >> i & 1]
-            if len(rest) <= budget + 2:
-                raise ValueError("group_limit is below the count of distinct fingerprints that one link group can have")
             more = [m | x for x in block_masks(rest, budget)]
             finer += more
             lit = F.array(*[F.lit(_signed(x)) for x in more])
