@@ -286,11 +286,63 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "t
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows without a
-    doc_id stay. All columns of docs, whatever their names, are kept as they are."""
-    gone = near_groups(docs.select("doc_id", "text"), words, budget)
-    gone = stash(gone.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+#: Odd multipliers that make independent fingerprints of one word's hash.
+_VIEWS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9))
+
+
+def word_fingerprints(text: str | None, views: int) -> list[int]:
+    """Independent signed fingerprints of a text's distinct words; 0 without words."""
+    tokens = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    hashed = xxhash.xxh64_intdigest
+    base = np.array(sorted(hashed(w, SEED) for w in tokens), dtype="<u8")
+    out = []
+    for m in _VIEWS[:views]:
+        x = (base ^ (base >> np.uint64(31))) * m
+        x = (x ^ (x >> np.uint64(29))) * _VIEWS[-1]
+        out.append(fold(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def word_groups(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
+    """(doc_id, component_id) of every row of docs, linked where any of ``views``
+    fingerprints of the distinct words differs in at most ``budget`` of 64 bits, a
+    cosine of some 0.98. One changed word costs a text of n words 5 of its n
+    five-word shingles but one of its words: at a shingle similarity of 0.8 word
+    fingerprints differ by 4 bits on average, those of shingles by 9. Three views
+    find 92 % of such pairs directly and more through third documents. Rows are
+    treated as in near_groups."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [word_fingerprints(t, views) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([f[v] for f in found], pa.int64()) for v in range(views)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+
+    names = [f"f{v}" for v in range(views)]
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = stash(kept.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)])), "views")
+    nodes = stash(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*names)), "nodes")
+    edges = []
+    for n in names:
+        first = stash(nodes.groupBy(n).agg(F.min("node").alias("first")), "first")
+        edges.append(nodes.join(first, n).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+        near = stash(links(first.select(F.col(n).alias("fp")), budget), "near")
+        ends = near.join(first.select(F.col(n).alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col(n).alias("v"), F.col("first").alias("b")), "v")
+        edges.append(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(_union(edges))
+    joined = stash(nodes.join(roots, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")), "roots")
+    heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
+    named = stash(joined.join(heads, "root").select(*names, "component_id"), "named")
+    return marked.join(named, names).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its word_groups group; rows
+    without a doc_id stay, rows that repeat one go or stay together. All columns of
+    docs, whatever their names, are kept as they are."""
+    gone = word_groups(docs.select("doc_id", "text"), views, budget)
+    gone = stash(gone.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
@@ -304,4 +356,4 @@ QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
 #: Fingerprints and reachability are tested against brute force; SQL has no XXH64.
 ORACLE_SQL: dict[str, str] = {}
 
-__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "text_hashes", "trie_forest"]
+__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]

@@ -102,11 +102,31 @@ def test_hot_groups_are_cut_again_without_loss(spark):
 
 def test_keep_one_keeps_columns_and_rows_without_id(spark):
     frame = docs(spark)
-    kept = S.keep_one(frame, words=4)
+    kept = S.keep_one(frame)
     assert kept.columns == frame.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 2 and ids.count(7) == 3 and 100 not in ids and 301 not in ids and 300 in ids
 
 
+def test_word_groups_equal_brute_force(spark):
+    rows = awkward_texts()
+    got = Counter((r["doc_id"], r["component_id"]) for r in S.word_groups(docs(spark)).collect())
+    views = [[f & (1 << 64) - 1 for f in S.word_fingerprints(t, 3)] for _, t in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if label[j] > label[i] and any(bin(a ^ b).count("1") <= 4 for a, b in zip(views[i], views[j], strict=True)):
+                    label[j], changed = label[i], True
+    least = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        if i is not None:
+            least[x] = min(least.get(x, i), i)
+    assert got == Counter((i, least.get(x)) for (i, _), x in zip(rows, label, strict=True))
+
+
 def test_empty_table(spark):
     assert S.near_groups(docs(spark, [])).count() == 0
+    assert S.word_groups(docs(spark, [])).count() == 0
