@@ -1,69 +1,5 @@
-"""Tables written to the folder that all executors share.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
-back: the files survive a lost executor, and their size is known to the planner,
-which then chooses between broadcast and shuffle joins by a measured figure.
-"""
-
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary
-    folder serves a local master (tests); a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="plyforge-"))
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared file system; a stopped session leaves it."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session has ended: nothing can be deleted through it any more
-        pass
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the process ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and returns it as read from there. The
-    files go with unstash(), or when the process ends."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstash(df: DataFrame) -> None:
-    """Deletes the files of a stashed frame that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _drop(spark, folder)
+"""Tables in the shared folder, as the operators of this subpackage use them."""
 
+from ..store import delete, fresh_path, shared_dir, stash, unstash
 
 __all__ = ["delete", "fresh_path", "shared_dir", "stash", "unstash"]
