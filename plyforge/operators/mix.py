@@ -62,3 +62,29 @@ def plan_segments(schedule: DataFrame, total: int) -> DataFrame:
     segments = segments.withColumn("last_row", F.sum("segment_rows").over(upto)).withColumn("first_row", F.col("last_row") - F.col("segment_rows"))
     tiers = schedule.select("segment", "tier", "weight").join(segments, "segment")
     return largest_remainder(tiers, "weight", F.col("segment_rows"), ["tier"], ["segment"], "tier_rows")
+
+
+def checked_fractions(fractions: dict[str, float]) -> dict[str, float]:
+    """The fractions; raises unless each is above 0 and all are 1 at most together."""
+    if any(not 0 < f <= 1 for f in fractions.values()) or sum(fractions.values()) > 1 + 1e-9:
+        raise ValueError(f"fractions of tasks must lie in (0, 1] and sum up to 1 at most: {fractions}")
+    return dict(fractions)
+
+
+def checked_schedule(segments: list[tuple[str, float, dict[int, float]]]) -> list[tuple[int, str, float, int, float]]:
+    """Rows (segment, name, fraction, tier, weight) of segments (name, fraction, weights
+    by tier); raises on repeated names, fractions that don't sum up to 1, weights below
+    0, or a segment without weight."""
+    names = [n for n, _, _ in segments]
+    if not segments or len(set(names)) < len(names):
+        raise ValueError("a schedule needs segments of different names")
+    if abs(sum(f for _, f, _ in segments) - 1) > 1e-6 or any(f <= 0 for _, f, _ in segments):
+        raise ValueError("fractions of the run must be above 0 and sum up to 1")
+    if any(min(w.values(), default=-1) < 0 or not sum(w.values()) for _, _, w in segments):
+        raise ValueError("a segment's weights must be 0 or more, and one above 0")
+    return [(i, n, f, t, x) for i, (n, f, w) in enumerate(segments) for t, x in sorted(w.items()) if x]
+
+
+def replay_share(weights: dict[int, float]) -> float:
+    """The share of tiers 1 and 2."""
+    return sum(w for t, w in weights.items() if t in (1, 2)) / sum(weights.values())

@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from plyforge.functions import chess as C
 from plyforge.functions import metrics as M
 from plyforge.operators import benchmark as B
+from plyforge.operators import engine_rows as E
+from plyforge.operators import mix
 
 
 def test_frozen_splits(spark):
@@ -22,3 +25,30 @@ def test_weighted_choice_follows_weights(spark):
     moves = spark.range(3000).select("id", F.explode(F.array(F.struct(F.lit("a").alias("m"), F.lit(3).alias("w")), F.struct(F.lit("b").alias("m"), F.lit(1).alias("w")), F.struct(F.lit("c").alias("m"), F.lit(0).alias("w")))).alias("x")).select("id", "x.*")
     drawn = {r["m"]: r["count"] for r in B.choose_weighted(moves, "id", "m", "w", 1).groupBy("m").count().collect()}
     assert set(drawn) == {"a", "b"} and 0.71 < drawn["a"] / 3000 < 0.79
+
+
+def test_engine_rows(spark):
+    rows = spark.createDataFrame([(2, 20, None), (-2, -700, None), (5, 100, -3), (0, -100, None)], "wdl int, cp int, mate int")
+    got = rows.select(E.wdl_label(F.col("wdl")).alias("w"), E.evaluation_sentence(F.col("cp"), F.col("mate")).alias("e"), E.candidate_bucket(F.col("cp"), F.col("mate")).alias("b")).collect()
+    assert [r["w"] for r in got] == ["Win for the side to move.", "Loss for the side to move.", "WDL value: 5", "Draw with best play."]
+    assert [r["e"] for r in got] == ["The position is equal.", "Black has a decisive advantage.", "Black has a decisive advantage (forced mate).", "Black has a slight edge."]
+    assert [r["b"] for r in got] == ["equal", "decisive", "forced mate", "slight edge"]
+    text = spark.sql("select array(named_struct('uci', 'e2e4', 'cp', 30, 'mate', null), named_struct('uci', 'd2d4', 'cp', -60, 'mate', null)) as r").select(E.candidate_answer(F.col("r")).alias("t")).first()["t"]
+    assert text == "Candidate e2e4: +30cp; Bucket: equal\nCandidate d2d4: -60cp; Bucket: slight edge\nBest: e2e4"
+    assert spark.createDataFrame([(text,)], "t string").select(M.candidate_scores(F.col("t"), F.col("t"))["primary"].alias("p")).first()["p"] == 1.0
+
+
+def test_best_tablebase_moves(spark):
+    rows = [("w", "a", 2, 9, 0), ("w", "b", 2, 3, 1), ("w", "c", 0, 0, 2), ("d", "x", 0, 0, 0), ("d", "y", 0, 0, 1), ("l", "p", -2, -4, 0), ("l", "q", -2, -10, 1)]
+    got = E.best_dtz_move(spark.createDataFrame(rows, "pos string, move string, wdl int, dtz int, ordinal int"), "pos").collect()
+    assert {r["pos"]: r["best_move"] for r in got} == {"w": "b", "d": "x", "l": "q"}
+
+
+def test_checked_inputs(spark):
+    assert len(mix.checked_schedule([("a", 0.4, {1: 1.0, 2: 0.0}), ("b", 0.6, {1: 0.5, 3: 0.5})])) == 3
+    for bad in ([], [("a", 1.0, {})], [("a", 0.5, {1: 1}), ("a", 0.5, {1: 1})], [("a", 0.5, {1: 1})]):
+        with pytest.raises(ValueError):
+            mix.checked_schedule(bad)
+    with pytest.raises(ValueError):
+        mix.checked_fractions({"a": 0.7, "b": 0.6})
+    assert mix.replay_share({1: 1.0, 2: 1.0, 3: 2.0}) == 0.5
