@@ -172,9 +172,15 @@ def fit_texts(texts: list[str], label: np.ndarray) -> Linear:
     known = label >= 0
     if not len(texts) or not known.any():
         return Linear(float(np.log(0.1 / 0.9)))
-    place: dict[str, int] = {w + "$": i for i, w in enumerate(LEXICON)}
-    rows = [np.array(sorted(place.setdefault(m, len(place)) for m in sorted(marks(t))), dtype=np.int32) for t in texts]
-    names = list(place)
+    # only marks of several toxic rows can become voters or features
+    often: Counter = Counter()
+    for t, y in zip(texts, label, strict=True):
+        if y == 1:
+            often.update(marks(t))
+    names = list(dict.fromkeys([*(w + "$" for w in LEXICON), *sorted(m for m, k in often.items() if k >= 3)]))
+    place = {m: i for i, m in enumerate(names)}
+    del often
+    rows = [np.array(sorted(place[m] for m in marks(t) & place.keys()), dtype=np.int32) for t in texts]
     prior = float(np.clip(label[known].mean(), 0.01, 0.9))
     seen = [r for r, k in zip(rows, known, strict=True) if k]
     voters = np.array(list(dict.fromkeys([*range(len(LEXICON)), *mine_patterns(seen, label[known] == 1, names)])))
