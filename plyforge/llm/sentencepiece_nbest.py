@@ -5,8 +5,9 @@ start to every place; a backward A* search from the end uses these scores as its
 heuristic. They are exact, so each path comes out of the heap in the order of its
 score and nothing but parts of the N best paths is opened (Nagata, 1994).
 
-No piece reaches from a letter into the next blank, so the lattice of a text is a
-chain of units (blanks with the word after them). Units are searched once and
+No piece reaches from a letter into the next blank, nor from letters into characters
+that the vocabulary keeps apart from them, such as full stops: the lattice of a text is
+a chain of units (blanks with the run of either kind after them). Units are searched once and
 kept; the N best of the whole text follow exactly from the units': only the N - 1
 units whose second-best path costs least can differ from their best path.
 """
@@ -16,9 +17,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from itertools import chain
+from array import array
+from itertools import accumulate, chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 BLANK = "▁"
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_NONE, _NEVER, _ABSENT = float("inf"), float("-inf"), ((), 0.0)
 #: How much below the worst piece a character scores that only bytes can spell.
 UNKNOWN = 10.0
 
@@ -36,25 +37,46 @@ Path = tuple[float, tuple[int, ...]]
 class Vocabulary:
     """Pieces, scores and byte pieces of a .model file, with the searches."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skip: set[int], most: int = 300_000):
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skip: set[int], most: int = 800_000):
+        # blanks are kept as such inside: most texts then need one byte a character
+        pieces = [(p.replace(BLANK, " "), s) for p, s in pieces]
         self.raw = [p.encode("utf-8", "surrogatepass") for p, _ in pieces]
         for value, i in byte_ids.items():
             self.raw[i] = bytes([value])
         for i in skip:
             self.raw[i] = b""
         self.byte_ids = byte_ids
-        self.table: dict[str, tuple[int, float] | None] = {}
+        # a trie: each node has its children and, where a piece ends, (ids, score)
+        self.root: dict = {}
         own = set(byte_ids.values()) | skip
         for i, (piece, score) in enumerate(pieces):
             if i not in own and piece:
-                for k in range(1, len(piece)):
-                    self.table.setdefault(piece[:k], None)
-                self.table[piece] = (i, float(score))
+                node: list = [self.root, None]
+                for c in piece:
+                    node = node[0].setdefault(c, [{}, None])
+                node[1] = ((i,), float(score))
         self.worst = min((float(s) for i, (_, s) in enumerate(pieces) if i not in own), default=0.0) - UNKNOWN
-        if any(BLANK in p.lstrip(BLANK) for i, (p, _) in enumerate(pieces) if i not in own):
+        self.cost_of = [float(s) for _, s in pieces]
+        for value, i in byte_ids.items():  # a character's bytes: the first one bears its score
+            self.cost_of[i] = 0.0 if 0x80 <= value < 0xC0 else self.worst
+        if any(" " in p.lstrip(" ") for i, (p, _) in enumerate(pieces) if i not in own):
             raise ValueError("a piece has a blank after a letter: texts can't be cut into units")
+        self.cut = self._unit_pattern([p for i, (p, _) in enumerate(pieces) if i not in own]).findall
         self.most = most
-        self.pairs: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        #: By unit: the ids of its best path, then what its second-best path costs.
+        self.pairs: dict[str, tuple] = {}
+
+    @staticmethod
+    def _unit_pattern(pieces: list[str]) -> re.Pattern:
+        """Blanks with the run of characters after them that are all ``apart`` or
+        none is: apart are those that no piece holds beside another character."""
+        pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if " " not in (a, b)}
+        used = {c for p in pieces for c in p}
+        apart = {c for c in used if c != " " and not c.isalpha()} | (set(map(chr, range(128))) - used - {" "})
+        while drop := {x for pair in pairs for x in pair if x in apart and not apart.issuperset(pair)}:
+            apart -= drop
+        own = "".join(re.escape(c) for c in sorted(apart))
+        return re.compile(f" *[^ {own}]+| *[{own}]+| +" if own else " *[^ ]+| +")
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -66,68 +88,113 @@ class Vocabulary:
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)], byte_ids, skip)
 
-    def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place, the (start, ids, score) of what may end there."""
-        n, table = len(unit), self.table
+    def _score(self, ids) -> float:
+        """The sum of the pieces' scores; the bytes of one character count once."""
+        return float(sum(map(self.cost_of.__getitem__, ids)))
+
+    def _spelt(self, c: str) -> tuple[int, ...] | None:
+        """The byte pieces of a character that no piece spells."""
+        raw = c.encode("utf-8", "surrogatepass")
+        return tuple(self.byte_ids[b] for b in raw) if all(b in self.byte_ids for b in raw) else None
+
+    def lattice(self, unit: str) -> tuple[list[list[tuple]], list[float]]:
+        """For each place the (start, ids, score) of what may end there, and the best
+        score from the start to it (forward Viterbi)."""
+        n = len(unit)
         ends: list = [[] for _ in range(n + 1)]
+        best = [0.0] + [_NEVER] * n
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                part = unit[i:j]
-                if part not in table:
+            here, children, single = best[i], self.root, False
+            for j in range(i, n):
+                node = children.get(unit[j])
+                if node is None:
                     break
-                if (found := table[part]) is not None:
-                    ends[j].append((i, (found[0],), found[1]))
-                    single = single or j == i + 1
-            if not single:  # spelt in bytes
-                raw = unit[i].encode("utf-8", "surrogatepass")
-                if all(b in self.byte_ids for b in raw):
-                    ends[i + 1].append((i, tuple(self.byte_ids[b] for b in raw), self.worst))
-        return ends
+                children, found = node
+                if found is not None:
+                    ids, score = found
+                    ends[j + 1].append((i, ids, score))
+                    if here + score > best[j + 1]:
+                        best[j + 1] = here + score
+                    if j == i:
+                        single = True
+            if not single and (ids := self._spelt(unit[i])):
+                ends[i + 1].append((i, ids, self.worst))
+                best[i + 1] = max(best[i + 1], here + self.worst)
+        return ends, best
 
     def nbest(self, unit: str, n: int) -> list[Path]:
         """The n best (score, ids) of one unit, best first; fewer if there are no
         more. Equal scores come in the order in which the search meets them."""
-        ends = self.edges(unit)
-        best = [0.0] + [-np.inf] * len(unit)
-        for j in range(1, len(unit) + 1):
-            for i, _, score in ends[j]:
-                if best[i] + score > best[j]:
-                    best[j] = best[i] + score
-        if best[-1] == -np.inf:
+        ends, best = self.lattice(unit)
+        if best[-1] == _NEVER:
             return []
         out: list[Path] = []
         count = 0
         # (-(score so far + best way to here), place, order, score so far, ids from here as a linked list);
         # of equal scores the one nearest to the start goes on, so ties don't fan out
         heap: list = [(-best[-1], len(unit), 0, 0.0, None)]
-        while heap and len(out) < n:
-            _, place, _, gone, tail = heapq.heappop(heap)
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            _, place, _, gone, tail = pop(heap)
             if place == 0:
                 ids: list[int] = []
                 while tail is not None:
-                    ids.extend(tail[0])
+                    ids += tail[0]
                     tail = tail[1]
                 out.append((gone, tuple(ids)))
+                if len(out) == n:
+                    break
                 continue
             for i, piece, score in ends[place]:
-                if best[i] > -np.inf:
-                    count += 1
-                    heapq.heappush(heap, (-(gone + score + best[i]), i, count, gone + score, (piece, tail)))
+                count += 1
+                score += gone
+                push(heap, (-(score + best[i]), i, count, score, (piece, tail)))
         return out
 
-    def _pair(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        """Best ids and score of a unit, and what its second-best path costs."""
-        found = self.nbest(unit, 2)
-        if not found:
-            return (), 0.0, np.inf
-        return found[0][1], found[0][0], (found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+    def _pair(self, unit: str) -> tuple:
+        """Best ids of a unit, then what its second-best path costs: Viterbi with the
+        two best scores of each place."""
+        n, root = len(unit), self.root
+        best, second, back = [0.0] + [_NEVER] * n, [_NEVER] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            here, below, children, single = best[i], second[i], root, False
+            for j in range(i, n):
+                node = children.get(unit[j])
+                if node is None:
+                    break
+                children, found = node
+                if found is not None:
+                    ids, score = found
+                    k, x = j + 1, here + score
+                    if x > best[k]:
+                        second[k] = max(best[k], below + score)
+                        best[k], back[k] = x, (i, ids)
+                    elif x > second[k]:
+                        second[k] = x
+                    if j == i:
+                        single = True
+            if not single and (ids := self._spelt(unit[i])):
+                k, x = i + 1, here + self.worst
+                if x > best[k]:
+                    second[k] = max(best[k], below + self.worst)
+                    best[k], back[k] = x, (i, ids)
+                elif x > second[k]:
+                    second[k] = x
+        if best[n] == _NEVER:
+            return (_NONE,)
+        parts, k = [], n
+        while k:
+            k, ids = back[k]
+            parts.append(ids)
+        parts.reverse()
+        parts.append((best[n] - second[n],))
+        return tuple(chain.from_iterable(parts))
 
     def units(self, text: str | None) -> list[str]:
         """Blanks are written as such, one stands before the text; '' has no unit."""
         if not text:
             return []
-        return _UNIT.findall(BLANK + text.replace(" ", BLANK))
+        return self.cut(" " + (text.replace(BLANK, " ") if BLANK in text else text))
 
     def encode(self, text: str | None, n: int = 1) -> list[Path]:
         """The n best segmentations of a whole text, best first. Null and empty
@@ -145,16 +212,23 @@ class Vocabulary:
         return self._join(units, [self._pair(u) for u in units], n)
 
     def _join(self, units: list[str], found: list[tuple], n: int) -> list[Path]:
-        total = float(sum(f[1] for f in found))
-        head = tuple(chain.from_iterable([f[0] for f in found]))
+        if not found:
+            return [(0.0, ())]
+        parts, costs = [f[:-1] for f in found], [f[-1] for f in found]
+        head = tuple(chain.from_iterable(parts))
+        total = self._score(head)
         if n == 1:
             return [(total, head)]
         # choices: (cost, places and ranks of what isn't the best path of its unit)
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for cost, place in heapq.nsmallest(n - 1, ((f[2], i) for i, f in enumerate(found))):
-            if cost == np.inf:
+        alternatives: dict[int, list[Path]] = {}
+        for cost, place in heapq.nsmallest(n - 1, zip(costs, range(len(costs)), strict=True)):
+            if cost == _NONE:
                 break
-            paths = self.nbest(units[place], n)
+            # the best path of a unit stays the one that stands in the head
+            own = parts[place]
+            paths = [(self._score(own), own), *(p for p in self.nbest(units[place], n) if p[1] != own)][:n]
+            alternatives[place] = paths
             more = [
                 (c + paths[0][0] - p[0], (*done, (place, rank)) if rank else done)
                 for c, done in choices
@@ -163,21 +237,24 @@ class Vocabulary:
             choices = heapq.nsmallest(n, more)
         out: list[Path] = [(total, head)]
         if len(choices) > 1:
-            stops = np.cumsum([len(f[0]) for f in found])
+            stops = list(accumulate(map(len, parts)))
         for cost, changed in choices[1:]:
             ids: list[int] = []
             at = 0
             for place, rank in sorted(changed):
-                ids.extend(head[at : int(stops[place]) - len(found[place][0])])
-                ids.extend(self.nbest(units[place], rank + 1)[rank][1])
-                at = int(stops[place])
+                ids.extend(head[at : stops[place] - len(parts[place])])
+                ids.extend(alternatives[place][rank][1])
+                at = stops[place]
             ids.extend(head[at:])
             out.append((total - cost, tuple(ids)))
         return out
 
+    def spell(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become the replacement mark."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
+        text = self.spell(ids).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -218,11 +295,12 @@ def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     def one(vocab: Vocabulary, text: str | None) -> tuple:
         found = vocab.encode(text, n)
         plain = (text or "").replace(BLANK, " ")
-        raw = [np.array(ids, dtype="<u4").tobytes() for _, ids in found]
+        raw = [array("I", ids).tobytes() for _, ids in found]
         crc = 0
         for r in raw:
             crc = zlib.crc32(r, crc)
-        same = all(vocab.decode(ids) == plain for _, ids in found)
+        best = vocab.spell(found[0][1])
+        same = vocab.decode(found[0][1]) == plain and all(vocab.spell(ids) == best for _, ids in found[1:])
         return len(found[0][1]), zlib.crc32(raw[0]), found[0][0], len(found), crc, found[-1][0], same
 
     names = ["n_pieces", "ids_crc32", "score", "n_best", "best_crc32", "last_score", "round_trip"]
