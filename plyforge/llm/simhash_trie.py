@@ -303,6 +303,19 @@ def word_fingerprints(text: str | None, views: int) -> list[int]:
     return out
 
 
+def _word_edges(nodes: DataFrame, names: list[str], budget: int) -> DataFrame:
+    """(u, v) of nodes(node, *names): for each fingerprint column, edges whose
+    components are those of all pairs that differ in at most ``budget`` bits."""
+    edges = []
+    for n in names:
+        first = stash(nodes.groupBy(n).agg(F.min("node").alias("first")), "first")
+        edges.append(nodes.join(first, n).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+        near = stash(links(first.select(F.col(n).alias("fp")), budget), "near")
+        ends = near.join(first.select(F.col(n).alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col(n).alias("v"), F.col("first").alias("b")), "v")
+        edges.append(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return _union(edges)
+
+
 def word_groups(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row of docs, linked where any of ``views``
     fingerprints of the distinct words differs in at most ``budget`` of 64 bits, a
@@ -323,25 +336,85 @@ def word_groups(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = stash(kept.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)])), "views")
     nodes = stash(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*names)), "nodes")
-    edges = []
-    for n in names:
-        first = stash(nodes.groupBy(n).agg(F.min("node").alias("first")), "first")
-        edges.append(nodes.join(first, n).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
-        near = stash(links(first.select(F.col(n).alias("fp")), budget), "near")
-        ends = near.join(first.select(F.col(n).alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col(n).alias("v"), F.col("first").alias("b")), "v")
-        edges.append(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = components(_union(edges))
+    roots = components(_word_edges(nodes, names, budget))
     joined = stash(nodes.join(roots, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")), "roots")
     heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
     named = stash(joined.join(heads, "root").select(*names, "component_id"), "named")
     return marked.join(named, names).select("doc_id", "component_id")
 
 
+#: Words of a shingle of the pipeline's stage.
+_WORDS = 5
+
+def _shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingle hashes of a text, sorted."""
+    return np.unique(text_hashes(text, _WORDS))
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "<u8").view("<i8")[0])
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of nodes(node, copy): copy is the hash of a text of docs."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_shingle_set(t).view("<i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    once = texts.join(nodes.select("copy"), "copy", "left_semi").dropDuplicates(["copy"])
+    return stash(once.join(nodes, "copy").select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have that Jaccard similarity or more."""
+    once = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = once.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    # sets of too different sizes are out without being compared
+    able = F.least(F.size("a"), F.size("b")) / F.greatest(F.size("a"), F.size("b")) >= similarity
+    return stash(both.filter(able).filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "verified")
+
+
+def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, budget: int = 4) -> DataFrame:
+    """(doc_id, component_id) of every row of docs, linked where the sets of their
+    five-word shingles (a shorter text is one) have that Jaccard similarity or
+    more: fingerprints only propose pairs, the sets decide. Rows are treated as in
+    near_groups; texts without words are equal."""
+    ship(docs.sparkSession)
+    names = [f"f{v}" for v in range(views)]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            sets = [_shingle_set(t) for t in texts]
+            found = [word_fingerprints(t, views) for t in texts]
+            columns = [pa.array([_set_id(s) for s in sets], pa.int64())]
+            columns += [pa.array([f[v] for f in found], pa.int64()) for v in range(views)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "node", *names])
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    schema = ", ".join(["doc_id long", "copy long", "node long", *(f"{n} long" for n in names)])
+    marked = stash(kept.mapInArrow(run, schema), "views")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), *[F.first(n).alias(n) for n in names])
+    nodes = stash(nodes, "nodes")
+    edges = stash(_word_edges(nodes.select("node", *names), names, budget), "edges")
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    sets = _sets(docs, nodes.select("node", "copy").join(ends, "node"))
+    roots = components(_verified(edges, sets, similarity))
+    joined = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
+    named = stash(joined.join(heads, "root").select("node", "component_id"), "named")
+    return marked.join(named, "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its word_groups group; rows
+    """The rows of docs whose doc_id is the smallest of its shingle_groups group; rows
     without a doc_id stay, rows that repeat one go or stay together. All columns of
     docs, whatever their names, are kept as they are."""
-    gone = word_groups(docs.select("doc_id", "text"), views, budget)
+    gone = shingle_groups(docs.select("doc_id", "text"), views=views, budget=budget)
     gone = stash(gone.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
@@ -356,4 +429,4 @@ QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
 #: Fingerprints and reachability are tested against brute force; SQL has no XXH64.
 ORACLE_SQL: dict[str, str] = {}
 
-__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]
+__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "shingle_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]

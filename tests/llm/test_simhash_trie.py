@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 
 from plyforge.llm import simhash_trie as S
 
-from .fixtures import awkward_texts, docs
+from .fixtures import awkward_texts, docs, words
 
 
 def plain_fingerprint(text, k=4):
@@ -130,3 +131,19 @@ def test_word_groups_equal_brute_force(spark):
 def test_empty_table(spark):
     assert S.near_groups(docs(spark, [])).count() == 0
     assert S.word_groups(docs(spark, [])).count() == 0
+
+
+def exact_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_keeps_texts_below_the_similarity(spark):
+    rng = random.Random(8)
+    base = words(rng, 120)
+    order = rng.sample(base, len(base))
+    spread = [w if i % 30 else "changed" for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(order)), (3, " ".join([base[-1], *base[:-1]])), (4, " ".join(spread))]
+    assert exact_similarity(rows[0][1], rows[1][1]) < 0.1 and exact_similarity(rows[0][1], rows[2][1]) > 0.8
+    wanted = {1, 2} | ({4} if exact_similarity(rows[0][1], rows[3][1]) < 0.8 else set())
+    assert {r["doc_id"] for r in S.keep_one(docs(spark, rows)).collect()} == wanted
