@@ -345,6 +345,32 @@ def word_groups(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
 
 #: Words of a shingle of the pipeline's stage.
 _WORDS = 5
+#: Sampled views: shingles of one fingerprint, and the orders that choose them.
+_SAMPLE, _SAMPLES = 5, 16
+_ORDERS = np.array([xxhash.xxh64_intdigest(f"order {i}", SEED) | 1 for i in range(_SAMPLE * _SAMPLES)], "<u8")
+
+
+def sampled_fingerprints(shingles: np.ndarray) -> np.ndarray:
+    """Signed fingerprints of _SAMPLES samples of a shingle set; none of an empty
+    one. A sample is the first shingle in each of _SAMPLE orders: two sets of
+    similarity s have the same with probability s ** _SAMPLE, wherever they differ,
+    so of pairs of 0.8 some 0.2 % have no sample in common."""
+    if not len(shingles):
+        return np.zeros(0, "<i8")
+    best, least = None, None
+    for i in range(0, len(shingles), 1024):
+        part = shingles[i : i + 1024]
+        ranks = part[None, :] * _ORDERS[:, None]
+        at = ranks.argmin(axis=1)
+        rank = ranks[np.arange(len(_ORDERS)), at]
+        if best is None:
+            best, least = rank, part[at]
+        else:
+            less = rank < best
+            best, least = np.where(less, rank, best), np.where(less, part[at], least)
+    bits = np.unpackbits(least.view(np.uint8).reshape(_SAMPLES, _SAMPLE, 8), axis=2, bitorder="little")
+    return np.packbits(bits.sum(axis=1) * 2 > _SAMPLE, axis=1, bitorder="little").view("<i8")[:, 0]
+
 
 def _shingle_set(text: str | None) -> np.ndarray:
     """The distinct five-word shingle hashes of a text, sorted."""
@@ -381,8 +407,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, budget: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row of docs, linked where the sets of their
     five-word shingles (a shorter text is one) have that Jaccard similarity or
-    more: fingerprints only propose pairs, the sets decide. Rows are treated as in
-    near_groups; texts without words are equal."""
+    more: fingerprints of distinct words and of sampled shingles only propose pairs,
+    the sets decide. Rows are treated as in near_groups; texts without words are
+    equal."""
     ship(docs.sparkSession)
     names = [f"f{v}" for v in range(views)]
 
@@ -393,17 +420,33 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, bud
             found = [word_fingerprints(t, views) for t in texts]
             columns = [pa.array([_set_id(s) for s in sets], pa.int64())]
             columns += [pa.array([f[v] for f in found], pa.int64()) for v in range(views)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "node", *names])
+            columns.append(pa.array([sampled_fingerprints(s) for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "node", *names, "samples"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(["doc_id long", "copy long", "node long", *(f"{n} long" for n in names)])
+    schema = ", ".join(["doc_id long", "copy long", "node long", *(f"{n} long" for n in names), "samples array<long>"])
     marked = stash(kept.mapInArrow(run, schema), "views")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), *[F.first(n).alias(n) for n in names])
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), *[F.first(n).alias(n) for n in names], F.first("samples").alias("samples"))
     nodes = stash(nodes, "nodes")
-    edges = stash(_word_edges(nodes.select("node", *names), names, budget), "edges")
+    member = nodes.select("node", F.posexplode("samples").alias("view", "key"))
+    keys = member.groupBy("view", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = stash(member.join(keys, ["view", "key"]), "shared")
+    stars = shared.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    edges = stash(_word_edges(nodes.select("node", *names), names, budget).union(stars).filter("u <> v").distinct(), "edges")
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     sets = _sets(docs, nodes.select("node", "copy").join(ends, "node"))
-    roots = components(_verified(edges, sets, similarity))
+    sure = _verified(edges, sets, similarity)
+    # a hub that is not similar to a member says nothing of the others: where a key
+    # still has several components, all pairs between them are compared
+    rest = shared.join(components(sure), "node", "left").select("view", "key", "node", F.coalesce("root", "node").alias("root"))
+    rest = stash(rest, "rest")
+    split = rest.groupBy("view", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("view", "key")
+    rest = stash(rest.join(split, ["view", "key"]).join(sets.select("node", F.size("shingles").alias("n")), "node"), "open")
+    other = rest.select("view", "key", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"))
+    able = F.least("n", "m") / F.greatest("n", "m") >= similarity
+    across = rest.join(other, ["view", "key"]).filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & able)
+    more = stash(across.select(F.col("node").alias("u"), "v").distinct(), "across")
+    roots = components(sure.union(_verified(more, sets, similarity)))
     joined = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
     named = stash(joined.join(heads, "root").select("node", "component_id"), "named")
@@ -429,4 +472,4 @@ QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
 #: Fingerprints and reachability are tested against brute force; SQL has no XXH64.
 ORACLE_SQL: dict[str, str] = {}
 
-__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "shingle_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]
+__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "sampled_fingerprints", "shingle_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]

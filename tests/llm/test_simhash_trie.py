@@ -147,3 +147,35 @@ def test_keep_one_keeps_texts_below_the_similarity(spark):
     assert exact_similarity(rows[0][1], rows[1][1]) < 0.1 and exact_similarity(rows[0][1], rows[2][1]) > 0.8
     wanted = {1, 2} | ({4} if exact_similarity(rows[0][1], rows[3][1]) < 0.8 else set())
     assert {r["doc_id"] for r in S.keep_one(docs(spark, rows)).collect()} == wanted
+
+
+def test_block_and_spread_edits_are_found(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for n in range(150):
+        base = words(rng, rng.choice((110, 250, 600)))
+        size, kind = len(base), n % 3
+        if kind == 0:
+            copy = base + words(rng, size // 5)
+        elif kind == 1:
+            copy = base[size * 17 // 100 :]
+        else:
+            copy = [w if i % 30 else "changed" for i, w in enumerate(base)]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+        if exact_similarity(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add(n)
+    assert len(want) >= 95
+    label = {r["doc_id"]: r["component_id"] for r in S.shingle_groups(docs(spark, rows)).collect()}
+    joined = {n for n in range(150) if label[2 * n] == label[2 * n + 1]}
+    assert joined <= want and len(joined) >= 0.98 * len(want)
+
+
+def test_a_hub_without_links_hides_no_pair(spark):
+    """Many texts that share their larger half, and near copies of some of them."""
+    rng = random.Random(13)
+    shared, rows = words(rng, 150), []
+    for i in range(30):
+        own = shared + words(rng, 60)
+        rows += [(i, " ".join(own)), (100 + i, " ".join([*own, "more"]))]
+    label = {r["doc_id"]: r["component_id"] for r in S.shingle_groups(docs(spark, rows)).collect()}
+    assert label == {i: i % 100 for i in label}
