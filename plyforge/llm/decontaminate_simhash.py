@@ -7,9 +7,10 @@ find every pair of a window and an item of its size within the radius; the exact
 weighted-shingle similarity (weights are numbers of occurrences) decides.
 
 Not every window needs a fingerprint: a window that reaches similarity s with an item
-of m shingles holds at least s * m shingles of that size's items. One pass over the
-texts looks for item shingles; only documents with enough of them, and only window
-starts that put a found shingle where an item has it, go on. This loses no pair.
+of m shingles holds at least 2 * s / (1 + s) * m of that item's shingles (s * m if the
+text is shorter than the item), in whatever order. One pass over the texts looks for
+item shingles; every window that holds enough shingles of one item goes on, and no
+other can reach the similarity.
 """
 
 from __future__ import annotations
@@ -90,28 +91,38 @@ def prepare_items(items: DataFrame) -> DataFrame:
 
 def candidate_starts(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, size, k, starts): where windows of a size may reach the similarity
-    with an item of prepare_items. Item shingles are joined on their hash, broadcast
+    with an item of prepare_items: all that hold enough of one item's shingles,
+    wherever the item has them. Item shingles are joined on their hash, broadcast
     if their table is small and shuffled otherwise."""
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1 to 5
     parts = []
     for k in ks:
-        own = items.filter(F.col("k") == k).select("size", "k", F.posexplode(shingle_hashes(F.col("item_words"), k)).alias("at", "h"))
-        parts.append(own)
+        own = items.filter(F.col("k") == k).withColumn("hs", shingle_hashes(F.col("item_words"), k))
+        parts.append(own.select("size", "k", F.xxhash64("hs").alias("item"), F.explode("hs").alias("h")))
     none = docs.sparkSession.createDataFrame([], "doc_id long, size int, k int, starts array<int>")
     if not parts:
         return none
     known = stash(reduce(DataFrame.unionByName, parts).distinct(), "item-shingles")
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w")).withColumn("total", F.size("w"))
     seen = reduce(
         DataFrame.unionByName,
-        [words.select("doc_id", F.lit(k).alias("k"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h")) for k in ks],
+        [words.select("doc_id", "total", F.lit(k).alias("k"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h")) for k in ks],
     )
-    found = seen.join(known, ["k", "h"]).select("doc_id", "size", "k", "pos", (F.col("pos") - F.col("at")).alias("start"))
-    return (
-        found.groupBy("doc_id", "size", "k").agg(F.collect_set("pos").alias("hits"), F.collect_set("start").alias("starts"))
-        .filter(F.size("hits") >= F.ceil(F.lit(similarity) * (F.col("size") - F.col("k") + 1)))
-        .select("doc_id", "size", "k", "starts")
+    found = seen.join(known, ["k", "h"]).select("doc_id", "total", "size", "k", "item", "pos")
+    m = F.col("size") - F.col("k") + 1
+    share = F.when(F.col("total") < F.col("size"), similarity).otherwise(2 * similarity / (1 + similarity))
+    hits = (
+        found.groupBy("doc_id", "total", "size", "k", "item").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        .withColumn("m", m).withColumn("need", F.greatest(F.lit(1), F.ceil(share * F.col("m") - 1e-9).cast("int")))
+        .filter(F.size("hits") >= F.col("need"))
+    )
+    # a window with hits i to i + need - 1 starts between the last, less its length, and the first
+    runs = F.expr(
+        "transform(filter(sequence(0, size(hits) - need), i -> hits[i + need - 1] - hits[i] < m),"
+        " i -> sequence(greatest(0, hits[i + need - 1] - m + 1), hits[i]))"
     )
+    starts = hits.select("doc_id", "size", "k", F.explode(F.array_distinct(F.flatten(runs))).alias("start"))
+    return starts.groupBy("doc_id", "size", "k").agg(F.collect_set("start").alias("starts"))
 
 
 def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:

@@ -85,3 +85,22 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f", "x", 1)], ITEMS)
     assert D.contaminated(docs(spark, []).select("doc_id", "text"), bench).count() == 0
     assert D.contaminated(docs(spark).select("doc_id", "text"), bench.limit(0)).count() == 0
+
+
+def test_reordered_passages_equal_brute_force(spark):
+    rng = random.Random(21)
+    items = [(n, " ".join(words(rng, size))) for n, size in enumerate((40, 48, 59, 59))]
+    rows = []
+    for n, text in items:
+        ws = text.split()
+        for i, cut in enumerate((len(ws) // 2, len(ws) // 3)):
+            rows.append((10 * n + i, " ".join([*words(rng, 100), *ws[cut:], *ws[:cut], *words(rng, 100)])))
+        rows.append((10 * n + 2, " ".join([*ws[20:], *ws[:20]])))
+        rows.append((10 * n + 3, " ".join([*ws[: len(ws) - 4], *words(rng, 30)])))
+        rows.append((10 * n + 4, " ".join(ws[4:])))
+    bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], ITEMS)
+    found = D.contaminated(docs(spark, rows).select("doc_id", "text"), bench, radius=31).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in found}
+    want = brute(rows, items)
+    assert {(10 * n, n) for n in range(4)} <= want.keys()
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
