@@ -3,13 +3,17 @@
 A vector is cut into equal segments; for each, its mean and standard deviation
 bound any inner product: over a segment of l components, sum(q * c) is at most
 l * (mq * mc + sq * sc), which is the lower bound l * ((mq - mc)^2 + (sq - sc)^2)
-on the squared distance, written for inner products. Levels have 4, 8, 16 segments.
-Candidates are taken coarse to fine: whoever's bound is below the query's k-th
-best score so far is dropped, and survivors are scored exactly.
+on the squared distance, written for inner products (what the means leave is
+bounded by Cauchy-Schwarz). Levels have 4, 8, 16, ... segments of two components
+at least; their segments are nested, so a finer level only tightens the bound.
+Candidates are taken coarse to fine: a pair whose bound is below the query's k-th
+best score so far is dropped. Of the pairs that are left, each query's best-bounded
+are scored first, which raises its k-th best score, and only then the survivors of
+that; no other pair is multiplied.
 
 Queries and candidates are packed into blocks of bounded size. Each candidate
 block goes once to every query block (all pairs of blocks, in blocks: the search
-is exact for a stated query set), dealt to ``spread`` tasks per query block; a
+is exact for a stated query set), dealt to several tasks per query block; a
 task holds one query block, one candidate block and k results per query.
 """
 
@@ -25,13 +29,15 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .store import stash
 
-LEVELS = (4, 8, 16)
 SCALE = 64
 _LONG = (1 << 63) - 1
 #: Sums below this are exact in floating point.
 _EXACT = 2.0**52
-#: Queries and candidates that are compared at a time within their blocks.
-_ROWS, _COLUMNS = 512, 2048
+#: Queries and candidates that are compared at a time within their blocks, and
+#: pairs that are multiplied at a time.
+_ROWS, _COLUMNS, _PAIRS = 512, 2048, 32_768
+#: Segments of the finest level, at most.
+_FINEST = 64
 
 
 def quantise(vector: np.ndarray) -> np.ndarray:
@@ -50,79 +56,114 @@ def level_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 1))
 
 
+def levels_of(dim: int) -> list[int]:
+    """Segments of each level: 4, 8, 16, ... of two components at least."""
+    return [n for n in (4 << i for i in range(16)) if n <= min(_FINEST, max(4, dim // 2))]
+
+
 class Block:
     """Ids and quantised vectors, with the features of every level."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.levels = [level_features(x, s) for s in LEVELS]
+        self.levels = [level_features(x, s) for s in levels_of(x.shape[1])]
         self.size = float(np.abs(x).max(initial=0))
 
 
 class Best:
-    """The k best (score, id) of each query so far: higher scores, then smaller ids."""
+    """The k best (score, id) of each query so far: higher scores, then smaller
+    ids. Scores are 64-bit integers; ``real`` says which places are taken."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.scores = np.full((n, k), -np.inf)
+        self.scores = np.full((n, k), -_LONG - 1, dtype=np.int64)
         self.ids = np.full((n, k), _LONG, dtype=np.int64)
-
-    def floor(self, rows: slice) -> np.ndarray:
-        return self.scores[rows, -1]
-
-    def offer(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.r_[self.scores[row], scores], np.r_[self.ids[row], ids]
-        order = np.lexsort((i, -s))[: self.k]
-        self.scores[row], self.ids[row] = s[order], i[order]
+        self.real = np.zeros((n, k), dtype=bool)
+
+    def floor(self, rows: np.ndarray) -> np.ndarray:
+        """The k-th best score as a float, rounded by some 2^-53 of itself; -inf
+        with fewer."""
+        return np.where(self.real[rows, -1], self.scores[rows, -1].astype(np.float64), -np.inf)
+
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, real: np.ndarray) -> None:
+        """Matrices of candidates for distinct rows; those that aren't real don't count."""
+        s = np.concatenate((self.scores[rows], scores), axis=1)
+        i = np.concatenate((self.ids[rows], ids), axis=1)
+        r = np.concatenate((self.real[rows], real), axis=1)
+        # ~s falls as s rises, without the overflow of -s
+        order = np.lexsort((i, ~s, ~r), axis=-1)[:, : self.k]
+        self.scores[rows], self.ids[rows], self.real[rows] = (np.take_along_axis(x, order, 1) for x in (s, i, r))
+
+
+def products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, exact: bool) -> np.ndarray:
+    """The inner products q[i] * c[j] as 64-bit integers: by floating point where
+    that is exact, else by integers of any size, held to 64 bits."""
+    if exact:
+        parts = [np.einsum("ij,ij->i", q[i[a : a + _PAIRS]], c[j[a : a + _PAIRS]]) for a in range(0, len(i), _PAIRS)]
+        return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    whole = {(side, n): [int(v) for v in x[n]] for side, x, ns in ((0, q, i), (1, c, j)) for n in np.unique(ns)}
+    sums = (sum(x * y for x, y in zip(whole[0, a], whole[1, b], strict=True)) for a, b in zip(i, j, strict=True))
+    return np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums], dtype=np.int64)
 
 
 def search(queries: Block, cands: Block, best: Best) -> tuple[int, int]:
-    """Offers each query its candidates of other ids; (pairs seen, pairs scored)."""
-    seen = scored = 0
-    exact = queries.size * cands.size * max(1, queries.x.shape[1]) < _EXACT
+    """Offers each query its candidates of other ids; (pairs seen, pairs multiplied)."""
+    seen = multiplied = 0
+    dim = max(1, queries.x.shape[1])
+    exact = queries.size * cands.size * dim < _EXACT
+    # a little room for rounding keeps ties alive
+    slack = 1e-6 * (1 + queries.size * cands.size * dim)
     for a in range(0, len(queries.ids), _ROWS):
-        rows = slice(a, a + _ROWS)
-        q = queries.x[rows]
+        rows = np.arange(a, min(a + _ROWS, len(queries.ids)))
         for b in range(0, len(cands.ids), _COLUMNS):
-            cols = slice(b, b + _COLUMNS)
-            c, ids = cands.x[cols], cands.ids[cols]
-            own = queries.ids[rows, None] == ids[None, :]
-            seen += own.size
-            # coarse to fine; a little room for rounding keeps ties alive
-            slack = 1e-6 * (1 + queries.size * cands.size * max(1, q.shape[1]))
-            floor = best.floor(rows)[:, None] - slack
-            alive = ~own
-            live_rows, live_cols = np.arange(len(q)), np.arange(len(ids))
+            c, ids = cands.x[b : b + _COLUMNS], cands.ids[b : b + _COLUMNS]
+            alive = queries.ids[rows, None] != ids[None, :]
+            seen += alive.size
+            bound = np.zeros(alive.shape)
             for fq, fc in zip(queries.levels, cands.levels, strict=True):
-                bound = fq[rows][live_rows] @ fc[cols][live_cols].T
-                alive[np.ix_(live_rows, live_cols)] &= bound >= floor[live_rows]
-                live_rows, live_cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-                if not len(live_rows):
+                i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+                if not len(i):
                     break
-            if not len(live_rows):
-                continue
-            scored += int(alive.sum())
-            if exact:
-                scores = np.full(alive.shape, -np.inf)
-                scores[np.ix_(live_rows, live_cols)] = q[live_rows] @ c[live_cols].T
-            else:  # beyond 52 bits: integers of any size, held to 64 bits
-                big = [[int(v) for v in r] for r in c]
-                scores = np.full(alive.shape, -np.inf, dtype=object)
-                for i in live_rows:
-                    own_q = [int(v) for v in q[i]]
-                    for j in np.flatnonzero(alive[i]):
-                        s = sum(x * y for x, y in zip(own_q, big[j], strict=True))
-                        scores[i, j] = max(-_LONG - 1, min(_LONG, s))
-                scores = scores.astype(np.float64)
-            scores[~alive] = -np.inf
-            for i in live_rows:
-                hit = np.flatnonzero(scores[i] >= max(best.scores[a + i, -1], -1e300))
-                if len(hit) > 4 * best.k:
-                    cut = np.partition(scores[i][hit], -best.k)[-best.k]
-                    hit = hit[scores[i][hit] >= cut]
-                if len(hit):
-                    best.offer(a + i, scores[i][hit], ids[hit])
-    return seen, scored
+                part = np.ix_(i, j)
+                bound[part] = fq[rows[i]] @ fc[b : b + _COLUMNS][j].T
+                alive[part] &= ~(bound[part] < best.floor(rows[i])[:, None] - slack)
+            # first the best-bounded pairs of each query, then what their scores leave
+            if len(ids) > 2 * best.k:
+                bound[~alive] = -np.inf
+                top = np.argpartition(-bound, best.k - 1, axis=1)[:, : best.k]
+                real = np.take_along_axis(alive, top, 1)
+                i, n = np.nonzero(real)
+                scores = np.zeros(top.shape, np.int64)
+                scores[i, n] = products(queries.x[rows], c, i, top[i, n], exact)
+                best.offer(rows, scores, ids[top], real)
+                multiplied += len(i)
+                alive[i, top[i, n]] = False
+                alive &= ~(bound < best.floor(rows)[:, None] - slack)
+            i, j = np.nonzero(alive)
+            multiplied += len(i)
+            if len(i):
+                _offer_pairs(best, rows, i, ids[j], products(queries.x[rows], c, i, j, exact))
+    return seen, multiplied
+
+
+def _offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    """Offers pairs (rows[i], ids) with their scores: each row's k best of them."""
+    last = best.scores[rows[i], -1]
+    good = ~best.real[rows[i], -1] | (scores >= last)
+    i, ids, scores = i[good], ids[good], scores[good]
+    if not len(i):
+        return
+    order = np.lexsort((ids, ~scores, i))
+    i, ids, scores = i[order], ids[order], scores[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    size = np.diff(np.r_[first, len(i)])
+    place = np.arange(len(i)) - np.repeat(first, size)
+    of = np.repeat(np.arange(len(first)), size)
+    kept = place < best.k
+    shape = (len(first), int(min(best.k, size.max())))
+    s, n, r = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+    s[of[kept], place[kept]], n[of[kept], place[kept]], r[of[kept], place[kept]] = scores[kept], ids[kept], True
+    best.offer(rows[i[first]], s, n, r)
 
 
 _PACKED = "dim int, block long, ids binary, x binary"
@@ -176,13 +217,21 @@ def _open(dim: int, ids: bytes, x: bytes) -> Block:
     return Block(keys, np.frombuffer(x, "<f8").reshape(len(keys), dim))
 
 
-def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 8192, cand_rows: int = 4096, spread: int = 48) -> DataFrame:
+def _salts(parts: int, blocks: int, per_task: int = 64, least: int = 48, most: int = 20_000) -> int:
+    """Tasks per query block: a task takes ``per_task`` candidate blocks or fewer
+    where there are few query blocks; ``most`` tasks in all, however many there are."""
+    return max(1, min(blocks, max(-(-blocks // per_task), least // parts), most // parts))
+
+
+def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 8192, cand_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id of vectors(vec_id, embedding)
     whose row meets is_query, its k best rows of the same length and another id by
     inner product of floor(64 * x); ties go to the smaller id. Fewer candidates:
     all. A query id that stands on several rows is searched once, by the row whose
-    vector sorts first; as candidates every row counts. Scores beyond 64 bits are
-    held to them. An empty table gives no rows."""
+    vector sorts first; as candidates every row counts, but no row of the query's
+    own id. Vectors may have any length; a block holds cand_rows of them. Scores
+    beyond 64 bits are held to them. An empty table gives no rows. Counting and
+    packing the queries runs jobs while the plan is built."""
     ship(vectors.sparkSession)
     asked = (
         vectors.filter(is_query).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -190,14 +239,15 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 81
         .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     )
     asked = stash(asked, "queries")
-    n = asked.count()
-    parts = max(1, -(-n // query_rows))
+    parts = max(1, -(-asked.count() // query_rows))
     queries = stash(pack_blocks(asked.repartition(parts), query_rows), "query-blocks")
-    number = F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1  # one row a block
-    queries = stash(queries.withColumn("qb", number.cast("int")), "numbered")
-    most = queries.groupBy("dim").agg(F.max("qb").alias("last"))
+    # names of blocks alone pass through the window, one row a block
+    number = F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1
+    numbers = stash(queries.select("dim", "block").withColumn("qb", number.cast("int")), "numbers")
+    queries = queries.join(numbers, ["dim", "block"])
+    most = numbers.groupBy("dim").agg(F.max("qb").alias("last"))
     cands = pack_blocks(vectors, cand_rows).join(F.broadcast(most), "dim")  # a row for each length of vectors
-    salts = max(1, spread // parts)
+    salts = _salts(parts, -(-vectors.count() // cand_rows))
     pairs = (
         queries.select("dim", "qb", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "ids", "x")
         .unionByName(
@@ -212,10 +262,9 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 81
         at, queries_, best = None, None, None
 
         def results():
-            keep = best.scores > -np.inf
-            i, j = np.nonzero(keep)
+            i, j = np.nonzero(best.real)
             return pa.RecordBatch.from_arrays(
-                [pa.array(queries_.ids[i]), pa.array(best.ids[i, j]), pa.array(_to_long(best.scores[i, j]))],
+                [pa.array(queries_.ids[i]), pa.array(best.ids[i, j]), pa.array(best.scores[i, j])],
                 ["query_id", "vec_id", "score"],
             )
 
@@ -236,16 +285,11 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 81
         pairs.repartition(max(1, parts * salts), "dim", "qb", "salt").sortWithinPartitions("dim", "qb", "salt", "kind")
         .mapInArrow(run, "query_id long, vec_id long, score long")
     )
-    # a row's rank among k rows of each of ``spread`` tasks at most
+    # k rows of each of a query's tasks; Spark keeps the k best of each partition first
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _to_long(scores: np.ndarray) -> np.ndarray:
-    safe = np.abs(scores) < 2.0**63
-    return np.where(safe, np.where(safe, scores, 0).astype(np.int64), np.where(scores > 0, _LONG, -_LONG - 1))
-
-
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk(vectors, F.col("vec_id") % 20 == 0)
