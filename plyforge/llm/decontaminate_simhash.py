@@ -1,21 +1,25 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions.
 
 A window is as many words of a document as a benchmark item has. Windows and items
-get 64-bit SimHash fingerprints of their five-word shingles; multi-index Hamming
-blocks (radius + 1 of them: two fingerprints within the radius agree on one in full)
-find every pair of a window and an item of its size within the radius; the exact
-weighted-shingle similarity (weights are numbers of occurrences) decides.
+get 64-bit SimHash fingerprints of their five-word shingles. Multi-index Hamming
+blocks find every pair of a window and an item of its size within the radius: of two
+fingerprints that differ in at most r bits, one of b blocks differs in no more than
+its share of r + 1 - b bits. Items are entered under every value that near for each
+block, windows are looked up under their own; the exact weighted-shingle similarity
+(weights are numbers of occurrences) decides.
 
 Not every window needs a fingerprint: a window that reaches similarity s with an item
 of m shingles holds at least 2 * s / (1 + s) * m of that item's shingles (s * m if the
 text is shorter than the item), in whatever order. One pass over the texts looks for
 item shingles; every window that holds enough shingles of one item goes on, and no
-other can reach the similarity.
+other can reach the similarity. Equal windows, however many documents hold them, are
+fingerprinted and compared once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,29 +58,67 @@ def simhash(hashes: str) -> Column:
     )
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Shingles that two arrays share, each as often as both have it."""
-    return F.aggregate(
-        F.array_distinct(a), F.lit(0),
-        lambda n, s: n + F.least(F.size(F.filter(a, lambda x: x == s)), F.size(F.filter(b, lambda x: x == s))),
-    )
+def numbered(df: DataFrame, words: str, name: str) -> DataFrame:
+    """df with the array column ``name``: the k-word shingles of the column ``words``,
+    each with its number among its equals. Two such arrays share as many entries as
+    the texts share shingles, each as often as both have it. Written out in between:
+    inlined, the sorted array would be made again for each entry."""
+    sorted_ = stash(df.withColumn("_sorted", F.array_sort(shingles(F.col(words), F.col("k")))), "sorted")
+    place = "transform(_sorted, (x, i) -> concat(x, ' ', i + 1 - array_position(_sorted, x)))"
+    return stash(sorted_.withColumn(name, F.expr(place)).drop("_sorted"), "shingles")
 
 
-def block_masks(radius: int) -> list[int]:
-    """radius + 1 masks that share the 64 bits among them."""
-    blocks = radius + 1
+def hamming_blocks(radius: int, blocks: int = 5) -> list[tuple[int, int, int]]:
+    """(first bit, bits, errors) of the blocks that share the 64 bits: numbers that
+    differ in at most ``radius`` bits differ in at most ``errors`` in one block."""
+    blocks = min(blocks, radius + 1)
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    spare = radius + 1 - blocks
+    # wide blocks take what can't be shared out evenly
+    wide = sorted(range(blocks), key=lambda i: (edges[i] - edges[i + 1], i))[: spare % blocks]
+    return [(edges[i], edges[i + 1] - edges[i], spare // blocks + (i in wide)) for i in range(blocks)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _mask(first: int, bits: int) -> Column:
+    return F.lit(_signed(((1 << bits) - 1) << first))
+
+
+def _near_values(first: int, bits: int, errors: int) -> Column:
+    """All numbers with at most ``errors`` bits, all within the block."""
+    found = [sum(1 << (first + i) for i in c) for n in range(min(errors, bits) + 1) for c in combinations(range(bits), n)]
+    return F.array(*[F.lit(_signed(x)) for x in found])
 
 
-def _first_block(differing: Column, masks: list[int]) -> Column:
-    """The number of the first block without a differing bit; null if none."""
-    return reduce(lambda c, i: c.when(differing.bitwiseAND(F.lit(masks[i])) == 0, i), range(1, len(masks)), F.when(differing.bitwiseAND(F.lit(masks[0])) == 0, 0))
+def _first_block(differing: Column, blocks: list[tuple[int, int, int]]) -> Column:
+    """The number of the first block that differs in no more bits than it may."""
+    tests = [F.bit_count(differing.bitwiseAND(_mask(first, bits))) <= errors for first, bits, errors in blocks]
+    return F.coalesce(*[F.when(t, i) for i, t in enumerate(tests)])
 
 
-def _blocks(fp: str, masks: list[int]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col(fp).bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]))
+def near_pairs(unique: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """(window_id, item_id, distance) of all windows unique(window_id, size, fp) and
+    items(item_id, size, fp) of one size whose fingerprints differ in at most
+    ``radius`` bits."""
+    blocks = hamming_blocks(radius)
+    own = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(_mask(first, bits)).alias("part")) for i, (first, bits, _) in enumerate(blocks)]
+    left = unique.select("window_id", "size", "fp", F.inline(F.array(*own)))
+    entered = [
+        items.select("item_id", "size", F.col("fp").alias("item_fp"), F.lit(i).alias("block"), F.explode(_near_values(*block)).alias("flip"))
+        .withColumn("part", F.col("item_fp").bitwiseAND(_mask(*block[:2])).bitwiseXOR(F.col("flip"))).drop("flip")
+        for i, block in enumerate(blocks)
+    ]
+    right = stash(reduce(DataFrame.unionByName, entered), "entered")
+    differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # a pair that several blocks find is taken at the first
+    return (
+        left.join(right, ["size", "block", "part"])
+        .filter((F.bit_count(differing) <= radius) & (_first_block(differing, blocks) == F.col("block")))
+        .select("window_id", "item_id", F.bit_count(differing).cast("int").alias("distance"))
+    )
 
 
 def prepare_items(items: DataFrame) -> DataFrame:
@@ -125,9 +167,10 @@ def candidate_starts(docs: DataFrame, items: DataFrame, similarity: float) -> Da
     return starts.groupBy("doc_id", "size", "k").agg(F.collect_set("start").alias("starts"))
 
 
-def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(doc_id, start, size, k, window, fp): the windows of candidate_starts, moved
-    into the text where they reach beyond it; a shorter text is one window."""
+def windows(docs: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows of candidate_starts, moved into the text where they reach beyond
+    it; a shorter text is one window. (doc_id, start, window_id) of each, and
+    (window_id, size, k, window, fp) of the different ones."""
     starts = stash(starts, "starts").withColumnRenamed("doc_id", "_doc")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     opened = (
@@ -137,8 +180,12 @@ def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
         .select("doc_id", "size", "k", "w", F.explode("moved").alias("start"))
         .select("doc_id", "start", "size", "k", F.slice("w", F.col("start") + 1, F.col("size")).alias("window"))
         .filter(F.size("window") >= F.col("k"))
+        # words hold no blanks, so the joined words and the size name a window
+        .withColumn("window_id", F.sha2(F.concat_ws(" ", F.col("size"), F.array_join("window", " ")), 256))
     )
-    return _fingerprinted(stash(opened, "windows"), "window")
+    opened = stash(opened, "windows")
+    once = opened.groupBy("window_id").agg(*[F.first(c).alias(c) for c in ("size", "k", "window")])
+    return opened.select("doc_id", "start", "window_id"), stash(_fingerprinted(once, "window"), "unique")
 
 
 def _fingerprinted(df: DataFrame, words: str) -> DataFrame:
@@ -159,32 +206,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     deviation of 2.9: a radius of 16 leaves out about one such pair in a hundred, and
     none that is much closer. Null and empty texts hold nothing; items without words
     are never found; rows without doc_id or item_id can't be named and take no part;
-    repeated rows count once; an item of fewer than five words is one shingle."""
-    masks = block_masks(radius)
+    repeated rows count once, rows that repeat an item_id are items of their own; an
+    item of fewer than five words is one shingle. Texts of any length are searched
+    whole. Writing the items and the windows runs jobs while the plan is built."""
     items = stash(prepare_items(benchmark.filter("item_id is not null")), "items")
     docs = docs.filter("doc_id is not null")
-    seen = windows(docs, candidate_starts(docs, items, similarity))
-    left = seen.select("doc_id", "start", "size", "k", "window", "fp", _blocks("fp", masks).alias("b")).select("*", "b.block", "b.part").drop("b")
-    marked = _fingerprinted(items, "item_words").withColumnRenamed("fp", "item_fp")
-    right = marked.select("item_id", "size", "item_words", "item_fp", _blocks("item_fp", masks).alias("b")).select("*", "b.block", "b.part").drop("b")
-    differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    # a pair that agrees on several blocks is taken at the first
-    near = (
-        left.join(right, ["size", "block", "part"])
-        .filter((F.bit_count(differing) <= radius) & (_first_block(differing, masks) == F.col("block")))
-        .select(
-            "doc_id", "item_id", "start", F.bit_count(differing).cast("int").alias("distance"),
-            shingles(F.col("window"), F.col("k")).alias("a"), shingles(F.col("item_words"), F.col("k")).alias("b"),
-        )
-    )
+    places, unique = windows(docs, candidate_starts(docs, items, similarity))
+    near = stash(near_pairs(unique, _fingerprinted(items, "item_words"), radius), "near")
+    a = numbered(unique.join(near.select("window_id").distinct(), "window_id"), "window", "a").select("window_id", "a")
+    b = numbered(items, "item_words", "b").select("item_id", "b")
+    common = F.size(F.array_intersect("a", "b"))
     pairs = (
-        stash(near, "near")  # as the hashes: the shingles would be made again for each comparison
-        .withColumn("common", overlap(F.col("a"), F.col("b")))
-        .withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))
-        .filter(F.col("similarity") >= similarity)
+        near.join(a, "window_id").join(b, "item_id")
+        .withColumn("similarity", common / (F.size("a") + F.size("b") - common))
+        .filter(F.col("similarity") >= similarity).select("window_id", "item_id", "similarity", "distance")
     )
+    found = places.join(stash(pairs, "pairs"), "window_id")
     best = F.max_by(F.struct("similarity", "start", "distance"), F.struct("similarity", -F.col("start"), -F.col("distance")))
-    return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.similarity", "best.start", "best.distance")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.similarity", "best.start", "best.distance")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 16) -> DataFrame:

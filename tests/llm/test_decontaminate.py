@@ -73,12 +73,34 @@ def test_equals_all_windows_against_all_items(spark):
 
 
 def test_blocks_guarantee_the_radius():
-    masks = D.block_masks(16)
-    assert len(masks) == 17 and sum(bin(m & (1 << 64) - 1).count("1") for m in masks) == 64
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        x = sum(1 << int(b) for b in rng.choice(64, 16, replace=False))
-        assert any(x & m == 0 for m in masks)
+    for radius in (2, 16, 31):
+        blocks = D.hamming_blocks(radius)
+        assert sum(bits for _, bits, _ in blocks) == 64 and sum(errors + 1 for *_, errors in blocks) == radius + 1
+        for _ in range(300):
+            x = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            assert any(bin(x >> first & (1 << bits) - 1).count("1") <= errors for first, bits, errors in blocks)
+
+
+def test_blocks_find_all_near_pairs_and_open_few(spark):
+    rng = np.random.default_rng(1)
+    items = [(i, 9, int(x)) for i, x in enumerate(rng.integers(-(2**63), 2**63 - 1, 40))]
+    found = []
+    for n in range(200):
+        x = items[n % 40][2] & (1 << 64) - 1
+        for b in rng.choice(64, n % 30, replace=False):
+            x ^= 1 << int(b)
+        found.append((f"w{n}", 9 if n % 7 else 8, x - (1 << 64) if x >> 63 else x))
+    left, right = spark.createDataFrame(found, "window_id string, size int, fp long"), spark.createDataFrame(items, "item_id long, size int, fp long")
+    got = sorted(tuple(r) for r in D.near_pairs(left, right, 16).collect())
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    assert got == sorted((w, i, apart(x, y)) for w, s, x in found for i, t, y in items if s == t and apart(x, y) <= 16)
+    # of pairs that have nothing in common, the share that some block pairs up
+    x, y = (rng.integers(0, 2**63, 20_000, dtype=np.uint64) for _ in range(2))
+    hit = np.zeros(20_000, bool)
+    for first, bits, errors in D.hamming_blocks(16):
+        hit |= np.bitwise_count((x ^ y) >> np.uint64(first) & np.uint64((1 << bits) - 1)) <= errors
+    assert hit.mean() < 0.2
 
 
 def test_empty_tables(spark):
@@ -104,3 +126,27 @@ def test_reordered_passages_equal_brute_force(spark):
     want = brute(rows, items)
     assert {(10 * n, n) for n in range(4)} <= want.keys()
     assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+
+
+def test_edits_inside_very_long_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = [(n, " ".join(words(rng, size))) for n, size in enumerate((36, 50, 58))]
+    rows = []
+    for n, text in items:
+        ws = text.split()
+        edited = {
+            "swapped": [*ws[18:], *ws[:18]], "inserted": [*ws[:9], "one", "two", *ws[9:]], "deleted": [*ws[:7], *ws[10:]],
+            "repeated": [*ws[:20], *ws[15:]], "lost": ws[::2],
+        }
+        for i, own in enumerate(edited.values()):
+            rows.append((10 * n + i, " ".join([*words(rng, 3000), *own, *words(rng, 3000)])))
+    bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], ITEMS)
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in D.contaminated(docs(spark, rows).select("doc_id", "text"), bench, radius=31).collect()}
+    want = brute(rows, items)
+    assert {10, 20, 21} <= {d for d, _ in want} and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+
+
+def test_query_runs_on_its_tables(spark):
+    found = D.op7_benchmark_decontamination(spark, "/root/testdata/sf0.001")
+    assert found.columns[:2] == ["doc_id", "item_id"] and found.count() == found.select("doc_id", "item_id").distinct().count()
