@@ -31,11 +31,12 @@ from .store import stash
 
 SCALE = 64
 _LONG = (1 << 63) - 1
-#: Sums below this are exact in floating point.
-_EXACT = 2.0**52
-#: Queries and candidates that are compared at a time within their blocks, and
-#: pairs that are multiplied at a time.
-_ROWS, _COLUMNS, _PAIRS = 512, 2048, 32_768
+#: Sums below these are exact in floating point of 24 and 53 bits.
+_SINGLE, _EXACT = 2.0**24, 2.0**52
+#: Queries and candidates that are compared at a time within their blocks.
+_ROWS, _COLUMNS = 512, 4096
+#: A level that drops less than this share of a chunk is left out of the next ones.
+_USEFUL, _AGAIN = 0.05, 16
 #: Segments of the finest level, at most.
 _FINEST = 64
 
@@ -66,8 +67,12 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.levels = [level_features(x, s) for s in levels_of(x.shape[1])]
         self.size = float(np.abs(x).max(initial=0))
+        self.levels = [level_features(x, s) for s in levels_of(x.shape[1])]
+
+    def single(self) -> None:
+        """Goes over to single precision, in which small integers are as exact."""
+        self.x, self.levels = self.x.astype(np.float32), [f.astype(np.float32) for f in self.levels]
 
 
 class Best:
@@ -79,11 +84,28 @@ class Best:
         self.scores = np.full((n, k), -_LONG - 1, dtype=np.int64)
         self.ids = np.full((n, k), _LONG, dtype=np.int64)
         self.real = np.zeros((n, k), dtype=bool)
+        #: What the k-th best score reaches at least, known beforehand.
+        self.least = np.full(n, -np.inf)
+        #: By level: chunks to pass before it is tried again.
+        self.idle: dict[int, int] = {}
 
     def floor(self, rows: np.ndarray) -> np.ndarray:
-        """The k-th best score as a float, rounded by some 2^-53 of itself; -inf
-        with fewer."""
-        return np.where(self.real[rows, -1], self.scores[rows, -1].astype(np.float64), -np.inf)
+        """What the k-th best score reaches at least, as a float that may be off by
+        some 2^-53 of itself."""
+        return np.maximum(self.least[rows], np.where(self.real[rows, -1], self.scores[rows, -1].astype(np.float64), -np.inf))
+
+    def look_within(self, queries: Block) -> None:
+        """First floors: queries are rows of the table too, so a query's k-th best
+        score among them is reached. Ids are distinct; large numbers are left out."""
+        n = len(queries.ids)
+        largest = queries.size * queries.size * max(1, queries.x.shape[1])
+        if n <= self.k or largest >= _EXACT:
+            return
+        x = queries.x.astype(np.float32) if largest < _SINGLE else queries.x
+        for a in range(0, n, _ROWS):
+            scores = x[a : a + _ROWS] @ x.T
+            scores[np.arange(len(scores)), a + np.arange(len(scores))] = -np.inf
+            self.least[a : a + _ROWS] = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, real: np.ndarray) -> None:
         """Matrices of candidates for distinct rows; those that aren't real don't count."""
@@ -96,45 +118,47 @@ class Best:
 
 
 def products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, exact: bool) -> np.ndarray:
-    """The inner products q[i] * c[j] as 64-bit integers: by floating point where
-    that is exact, else by integers of any size, held to 64 bits."""
-    if exact:
-        parts = [np.einsum("ij,ij->i", q[i[a : a + _PAIRS]], c[j[a : a + _PAIRS]]) for a in range(0, len(i), _PAIRS)]
-        return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    whole = {(side, n): [int(v) for v in x[n]] for side, x, ns in ((0, q, i), (1, c, j)) for n in np.unique(ns)}
-    sums = (sum(x * y for x, y in zip(whole[0, a], whole[1, b], strict=True)) for a, b in zip(i, j, strict=True))
-    return np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums], dtype=np.int64)
+    """The inner products q[i] * c[j], i in order, as 64-bit integers: by floating
+    point where that is exact, else by integers of any size, held to 64 bits."""
+    if not exact:
+        whole = {(side, n): [int(v) for v in x[n]] for side, x, ns in ((0, q, i), (1, c, j)) for n in np.unique(ns)}
+        sums = (sum(x * y for x, y in zip(whole[0, a], whole[1, b], strict=True)) for a, b in zip(i, j, strict=True))
+        return np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums], dtype=np.int64)
+    out = np.zeros(len(i), np.int64)
+    stop = np.searchsorted(i, np.arange(len(q) + 1))
+    for n in np.flatnonzero(np.diff(stop)):
+        part = slice(stop[n], stop[n + 1])
+        out[part] = c[j[part]] @ q[n]
+    return out
 
 
 def search(queries: Block, cands: Block, best: Best) -> tuple[int, int]:
     """Offers each query its candidates of other ids; (pairs seen, pairs multiplied)."""
     seen = multiplied = 0
     dim = max(1, queries.x.shape[1])
-    exact = queries.size * cands.size * dim < _EXACT
+    largest = queries.size * cands.size * dim
+    if largest < _SINGLE:
+        for block in (queries, cands):
+            block.single()
+    exact = largest < _EXACT
     # a little room for rounding keeps ties alive
-    slack = 1e-6 * (1 + queries.size * cands.size * dim)
+    slack = (1e-5 if largest < _SINGLE else 1e-6) * (1 + largest)
     for a in range(0, len(queries.ids), _ROWS):
         rows = np.arange(a, min(a + _ROWS, len(queries.ids)))
+        q = queries.x[rows]
         for b in range(0, len(cands.ids), _COLUMNS):
             c, ids = cands.x[b : b + _COLUMNS], cands.ids[b : b + _COLUMNS]
             alive = queries.ids[rows, None] != ids[None, :]
             seen += alive.size
-            bound = np.zeros(alive.shape)
-            for fq, fc in zip(queries.levels, cands.levels, strict=True):
-                i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-                if not len(i):
-                    break
-                part = np.ix_(i, j)
-                bound[part] = fq[rows[i]] @ fc[b : b + _COLUMNS][j].T
-                alive[part] &= ~(bound[part] < best.floor(rows[i])[:, None] - slack)
+            bound = _coarse_to_fine(queries, cands, best, rows, slice(b, b + _COLUMNS), alive, slack)
             # first the best-bounded pairs of each query, then what their scores leave
-            if len(ids) > 2 * best.k:
+            if bound is not None and len(ids) > 2 * best.k:
                 bound[~alive] = -np.inf
-                top = np.argpartition(-bound, best.k - 1, axis=1)[:, : best.k]
+                top = np.argpartition(bound, len(ids) - best.k, axis=1)[:, len(ids) - best.k :]
                 real = np.take_along_axis(alive, top, 1)
                 i, n = np.nonzero(real)
                 scores = np.zeros(top.shape, np.int64)
-                scores[i, n] = products(queries.x[rows], c, i, top[i, n], exact)
+                scores[i, n] = products(q, c, i, top[i, n], exact)
                 best.offer(rows, scores, ids[top], real)
                 multiplied += len(i)
                 alive[i, top[i, n]] = False
@@ -142,14 +166,42 @@ def search(queries: Block, cands: Block, best: Best) -> tuple[int, int]:
             i, j = np.nonzero(alive)
             multiplied += len(i)
             if len(i):
-                _offer_pairs(best, rows, i, ids[j], products(queries.x[rows], c, i, j, exact))
+                _offer_pairs(best, rows, i, ids[j], products(q, c, i, j, exact))
     return seen, multiplied
 
 
+def _coarse_to_fine(queries: Block, cands: Block, best: Best, rows: np.ndarray, cols: slice, alive: np.ndarray, slack: float) -> np.ndarray | None:
+    """Clears the pairs of ``alive`` whose bound is below the query's floor and gives
+    the finest bounds there are; None if no pair is left. Of the levels before the
+    last, those that drop hardly any pair rest for some chunks."""
+    floor = best.floor(rows)[:, None] - slack
+    last = len(queries.levels) - 1
+    bound = None
+    for level, (fq, fc) in enumerate(zip(queries.levels, cands.levels, strict=True)):
+        if level < last and best.idle.get(level, 0):
+            best.idle[level] -= 1
+            continue
+        i, j = alive.any(1), alive.any(0)
+        if not i.any():
+            return None
+        before = int(alive.sum())
+        if i.all() and j.all():
+            bound = fq[rows] @ fc[cols].T
+            alive &= ~(bound < floor)
+        else:
+            part = np.ix_(np.flatnonzero(i), np.flatnonzero(j))
+            if bound is None:
+                bound = np.full(alive.shape, np.inf, fq.dtype)
+            bound[part] = fq[rows[i]] @ fc[cols][j].T
+            alive[part] &= ~(bound[part] < floor[i])
+        if level < last and int(alive.sum()) > (1 - _USEFUL) * before:
+            best.idle[level] = _AGAIN
+    return bound if alive.any() else None
+
+
 def _offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
     """Offers pairs (rows[i], ids) with their scores: each row's k best of them."""
-    last = best.scores[rows[i], -1]
-    good = ~best.real[rows[i], -1] | (scores >= last)
+    good = scores.astype(np.float64) >= best.floor(rows)[i]
     i, ids, scores = i[good], ids[good], scores[good]
     if not len(i):
         return
@@ -276,6 +328,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 81
                         yield results()
                     at, queries_ = key, _open(r["dim"], r["ids"], r["x"])
                     best = Best(len(queries_.ids), k)
+                    best.look_within(queries_)
                 elif key == at:
                     search(queries_, _open(r["dim"], r["ids"], r["x"]), best)
         if at is not None:
