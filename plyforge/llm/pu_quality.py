@@ -27,7 +27,6 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
 _SPACE = b" \t\n\x0b\x0c\r"
-_HASH_STEPS = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 #: Shares of words that carry one of these marks outside full stops and commas.
 _ODD = re.compile(r"[!#$%&*|<>{}\[\]=@~^\\]")
@@ -166,8 +165,11 @@ def sample_share(n: int, most: int) -> float:
 
 
 def in_sample(key: Column, share: float, seed: int) -> Column:
-    """True for a fixed share of keys, whatever their order or partition."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_HASH_STEPS)) < int(share * _HASH_STEPS + 0.5)
+    """True for a fixed share of keys, whatever their order or partition. The hash
+    counts to 53 bits, so shares of 1e-12 and less still choose their rows."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(key, F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5 < share
 
 
 def fit(
@@ -177,7 +179,7 @@ def fit(
     quality) mark 1 throughout, unlabelled rows are any. ``usable`` (over doc_id)
     says which rows may be learned from at all. The expected sizes of the samples
     are max_positive and max_unlabelled at most; ids without a row, null ids and
-    null labels take no part. None: nothing to learn from."""
+    null labels take no part. None: nothing to learn from. Drawing the sample runs jobs."""
     ship(docs.sparkSession)
     usable = F.lit(True) if usable is None else usable
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(usable)
@@ -219,12 +221,16 @@ def scorer(model: Network | None):
 
 
 def classify(docs: DataFrame, model: Network | None, text: str = "text") -> DataFrame:
-    """docs with quality_score; one row per row, ties and repeats included."""
+    """docs with quality_score, in place of a column of that name; one row per row,
+    ties and repeats included, each scored over its whole text, however long."""
     return docs.withColumn("quality_score", scorer(model)(F.col(text).cast("string")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score ``threshold`` or more, all columns unchanged."""
+    """The rows of docs that score ``threshold`` or more, all columns unchanged. Every
+    row is judged by its own whole text: rows without a doc_id, repeated rows and rows
+    that share a doc_id alike; null texts count as empty. An empty table gives an empty
+    one; without labels every row scores 0.5 and stays."""
     model = fit(docs, labels)
     return docs.filter(scorer(model)(docs["text"].cast("string")) >= threshold)
 
