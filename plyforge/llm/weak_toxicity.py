@@ -2,11 +2,12 @@
 
 Many voters look at a text: one for each lexicon word, and one for each word
 beginning ("pattern") that a bounded sample of labelled rows shows to go with
-toxic texts. A generative label model (two classes, EM) estimates each voter's
-hit rates; voters that agree beyond what the classes explain share their weight,
-so a cluster of correlated voters speaks about once. Its posteriors label a
-sample of labelled and unlabelled rows, and a linear classifier over words and
-their beginnings is trained on them. Every row is then scored over its whole text.
+toxic texts. That, and the share of toxic rows, is all that hand labels are used
+for: a generative label model (two classes, EM) estimates how sure each voter is
+from the voters' votes alone; voters that agree beyond what the classes explain
+share their weight, so a cluster of correlated voters speaks about once. Its
+posteriors, never a label, are what a linear classifier over words and their
+beginnings is trained on. Every row is then scored over its whole text.
 """
 
 from __future__ import annotations
@@ -88,37 +89,52 @@ def mine_patterns(rows: list[np.ndarray], toxic: np.ndarray, names: list[str], m
     return chosen
 
 
-def label_model(votes: np.ndarray, prior: float, seeds: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """EM for a two-class model of binary votes. seeds: 1, 0 or -1 (unknown) per
-    row; known rows keep their class. Returns the posteriors of class 1 and the
-    voters' log ratios for a hit and for a miss, (voters, 2).
+def _at_mean(logit: np.ndarray, mean: float) -> np.ndarray:
+    """Probabilities of logits, moved together so that their mean is as given."""
+    low, high = -60.0, 60.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(logit + middle, -40, 40)))
+        low, high = (middle, high) if p.mean() < mean else (low, middle)
+    return p
 
-    Correlations: voters whose votes still correlate within the classes have
-    their ratios divided by the summed strength of those correlations, themselves
-    included; the strengths are estimated again in each round."""
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """EM for a two-class model of voters that say "toxic" or nothing. Returns the
+    posteriors of class 1 and each voter's log ratio for a vote. No label goes in:
+    rows with votes start as likely toxic, and rates and posteriors follow in turn.
+
+    What one voter leaves unsaid is no evidence, for insults stand for each other;
+    that no voter speaks is a vote of its own. Correlations: the ratio of a voter is
+    divided by the summed squares of its correlations within the classes with all
+    voters, itself included; they are estimated again in each round. The mean of the
+    posteriors is held to the prior."""
     n, k = votes.shape
-    v = votes.astype(np.float64)
-    p = np.where(seeds >= 0, seeds, np.where(v.sum(1) > 0, 0.9, 0.02)).astype(np.float64)
-    ratios = np.zeros((k, 2))
+    # voters that never speak would only seem to agree with each other
+    heard = np.flatnonzero(votes.any(0))
+    v = votes[:, heard].astype(np.float64)
+    quiet = ~votes.any(1)
+    p = np.where(quiet, 0.02, 0.9)
+    weights = np.zeros(len(heard))
     for _ in range(rounds):
         a, b = p.sum(), (1 - p).sum()
-        hit1 = (v.T @ p + 0.05) / (a + 0.1 + 1e-9)
-        hit0 = (v.T @ (1 - p) + 0.005) / (b + 1.0)
-        mean = np.outer(p, hit1) + np.outer(1 - p, hit0)
-        left = v - mean
+        # what smoothing there is leans towards voters that are right
+        hit1, hit0 = (v.T @ p + 0.1) / (a + 0.2), (v.T @ (1 - p) + 0.01) / (b + 1)
+        silent = np.log((p[quiet].sum() + 0.01) / (a + 1)) - np.log(((1 - p)[quiet].sum() + 0.1) / (b + 0.2))
+        left = v - np.outer(p, hit1) - np.outer(1 - p, hit0)
         spread = np.sqrt((left**2).mean(0)) + 1e-9
         strength = np.abs(left.T @ left / n / np.outer(spread, spread))
-        strength[strength < 0.3] = 0
+        strength[strength < 0.1] = 0
         np.fill_diagonal(strength, 1)
-        share = 1 / np.maximum(1, strength.sum(1))
-        ratios = np.stack([np.log(hit1 / hit0) * share, np.log((1 - hit1) / (1 - hit0)) * share], 1)
-        logit = np.log(prior / (1 - prior)) + v @ ratios[:, 0] + (1 - v) @ ratios[:, 1]
-        new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        new = np.where(seeds >= 0, seeds, new)
-        if np.abs(new - p).max(initial=0) < 1e-6:
-            break
+        weights = np.log(hit1 / hit0) / (strength**2).sum(1)
+        new = _at_mean(v @ weights + quiet * silent, prior)
+        moved = np.abs(new - p).max(initial=0)
         p = new
-    return new, ratios
+        if moved < 1e-6:
+            break
+    out = np.zeros(k)
+    out[heard] = weights
+    return p, out
 
 
 @dataclass
@@ -135,10 +151,10 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train_linear(rows: list[np.ndarray], target: np.ndarray, names: list[str], marks_used: np.ndarray, steps: int = 1500) -> Linear:
-    """Logistic regression on those of marks_used that the targets explain well, by
-    Adam over the whole sample, with L2. Weights stay at zero or above: what a
-    long text says besides can't outweigh an insult in it."""
+def train_linear(rows: list[np.ndarray], target: np.ndarray, names: list[str], steps: int = 1500) -> Linear:
+    """Logistic regression on the marks that the targets explain well, voters or
+    not, by Adam over the whole sample, with L2. Weights stay at zero or above:
+    what a long text says besides can't outweigh an insult in it."""
     n = len(rows)
     base = float(np.clip(target.mean(), 0.005, 0.995))
     row = np.repeat(np.arange(n), [len(x) for x in rows])
@@ -148,7 +164,7 @@ def train_linear(rows: list[np.ndarray], target: np.ndarray, names: list[str], m
     z = np.where(have >= 4, (bad - have * base) / np.sqrt(np.maximum(have, 1) * base * (1 - base)), 0)
     # marks that speak for toxicity: the rest of a long text then weighs nothing
     z[bad < 0.3 * have] = 0
-    top = marks_used[z[marks_used] > 4]
+    top = np.flatnonzero(z > 4)
     place = np.full(len(names), -1)
     place[top] = np.arange(len(top))
     keep = place[col] >= 0
@@ -167,11 +183,10 @@ def train_linear(rows: list[np.ndarray], target: np.ndarray, names: list[str], m
     return Linear(float(b), {names[i]: float(x) for i, x in zip(top, w, strict=True) if x})
 
 
-def fit_texts(texts: list[str], label: np.ndarray) -> Linear:
-    """label: 1, 0 or -1 (unlabelled) per text."""
+def weak_labels(texts: list[str], label: np.ndarray) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The names of marks, those of each text, and the label model's posteriors.
+    label: 1, 0 or -1 (unlabelled) per text; it picks patterns and the prior."""
     known = label >= 0
-    if not len(texts) or not known.any():
-        return Linear(float(np.log(0.1 / 0.9)))
     # only marks of several toxic rows can become voters or features
     often: Counter = Counter()
     for t, y in zip(texts, label, strict=True):
@@ -189,17 +204,24 @@ def fit_texts(texts: list[str], label: np.ndarray) -> Linear:
     votes = np.zeros((len(rows), len(voters)), dtype=np.int8)
     for i, r in enumerate(rows):
         votes[i, slot[r][slot[r] >= 0]] = 1
-    posterior, _ = label_model(votes, prior, label)
-    return train_linear(rows, posterior, names, voters)
+    return names, rows, label_model(votes, prior)[0]
+
+
+def fit_texts(texts: list[str], label: np.ndarray) -> Linear:
+    """label: 1, 0 or -1 (unlabelled) per text."""
+    if not len(texts) or not (label >= 0).any():
+        return Linear(float(np.log(0.1 / 0.9)))
+    names, rows, posterior = weak_labels(texts, label)
+    return train_linear(rows, posterior, names)
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_labelled: int = 8_000, max_unlabelled: int = 2_000
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_labelled: int = 8_000, max_unlabelled: int = 4_000
 ) -> Linear:
     """Fits on bounded samples (expected sizes as given, chosen by a hash of
     doc_id) of rows that labels(doc_id, toxic) mark and of rows without a label.
     Rows marked both ways count as toxic; null ids and labels take no part. With
-    nothing to learn from, every text scores 0.1."""
+    nothing to learn from, every text scores 0.1. Drawing the sample runs jobs."""
     ship(docs.sparkSession)
     usable = F.lit(True) if usable is None else usable
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(usable)
@@ -238,7 +260,10 @@ def scorer(model: Linear):
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below ``threshold``, all columns unchanged."""
+    """The rows of docs that score below ``threshold``, all columns unchanged. Every
+    row is judged by its own whole text, however long: rows without a doc_id, repeated
+    rows and rows that share a doc_id alike; null texts count as empty and stay. An
+    empty table gives an empty one; without labels every row stays."""
     model = fit(docs, labels)
     return docs.filter(scorer(model)(docs["text"].cast("string")) < threshold)
 
