@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .graph import components
+from .graph import components, spread_join
 from .store import stash, unstash
 
 BITS = 64
@@ -247,26 +247,54 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows of keyed fingerprints that a task works through at a time, and holds at all.
+_BATCH_ROWS, _TASK_ROWS = 500_000, 4_000_000
+
+
+def _trie_links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, budget: int) -> pa.RecordBatch:
+    """The edges (u, v) of whole groups (equal mask and key) of fingerprints."""
+    order = np.lexsort((fp.view(np.uint64), key, mask))
+    mask, key, fp = mask[order], key[order], fp[order].view(np.uint64)
+    group = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+    label = trie_forest(fp, group, budget)
+    far = np.flatnonzero(label != np.arange(len(label)))
+    out = np.unique(np.stack([fp[far].view(np.int64), fp[label[far]].view(np.int64)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+
+
 def links(nodes: DataFrame, budget: int = 4, group_limit: int = 200_000) -> DataFrame:
     """(u, v): for the distinct fingerprints nodes(fp), edges whose components
-    are those of all pairs that differ in at most ``budget`` bits."""
+    are those of all pairs that differ in at most ``budget`` bits. Groups come to a
+    task in order and are worked through a batch at a time, so it holds a batch and
+    one group at most. Counting runs jobs while the plan is built."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        mask, key, fp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-        order = np.lexsort((fp.view(np.uint64), key, mask))
-        mask, key, fp = mask[order], key[order], fp[order].view(np.uint64)
-        group = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        label = trie_forest(fp, group, budget)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        out = np.unique(np.stack([fp[far].view(np.int64), fp[label[far]].view(np.int64)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
-
-    ship(nodes.sparkSession)
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(i).to_numpy() for i in range(3)]
+            held.append(columns)
+            rows += b.num_rows
+            if rows < _BATCH_ROWS:
+                continue
+            mask, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            # the last group may go on in the next batch
+            last = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield _trie_links(mask[:cut], key[:cut], fp[:cut], budget)
+            held, rows = [[mask[cut:], key[cut:], fp[cut:]]], len(mask) - cut
+        if held:
+            yield _trie_links(*(np.concatenate(c) for c in zip(*held, strict=True)), budget)
+
+    spark = nodes.sparkSession
+    ship(spark)
     keyed = _keyed(nodes, budget, group_limit).select("mask", "key", "fp")
-    return keyed.repartition(F.col("mask"), F.col("key")).mapInArrow(run, "u long, v long")
+    tasks = -(-nodes.count() * len(block_masks(list(range(BITS)), budget)) // _TASK_ROWS)
+    dealt = keyed.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "mask", "key")
+    return dealt.sortWithinPartitions("mask", "key").mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "text") -> DataFrame:
@@ -275,15 +303,19 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "t
     fingerprint 0 and link to each other; a null doc_id keeps its row and never
     names a component; repeated rows give repeated rows; an empty table, none."""
     marked = stash(fingerprints(docs, words, text), "fp")
-    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), budget))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    named = _named(nodes.withColumnRenamed("fp", "node"), components(links(nodes.select("fp"), budget)))
+    return spread_join(marked, named.withColumnRenamed("node", "fp"), "fp", marked.count()).select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, n, component_id) of nodes(node, n, least), where n rows have a node and
+    least is the smallest doc_id of these; components that roots(node, root) doesn't
+    name are single nodes."""
+    joined = nodes.join(roots, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
     joined = stash(joined, "roots")
-    heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
-    named = stash(joined.join(heads, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    heads = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).withColumnRenamed("_n", "n")
+    return stash(spread_join(joined.withColumnRenamed("n", "rows"), stash(heads, "heads"), "root", joined.count()).select("node", F.col("rows").alias("n"), "component_id"), "named")
 
 
 #: Odd multipliers that make independent fingerprints of one word's hash.
@@ -316,33 +348,6 @@ def _word_edges(nodes: DataFrame, names: list[str], budget: int) -> DataFrame:
     return _union(edges)
 
 
-def word_groups(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
-    """(doc_id, component_id) of every row of docs, linked where any of ``views``
-    fingerprints of the distinct words differs in at most ``budget`` of 64 bits, a
-    cosine of some 0.98. One changed word costs a text of n words 5 of its n
-    five-word shingles but one of its words: at a shingle similarity of 0.8 word
-    fingerprints differ by 4 bits on average, those of shingles by 9. Three views
-    find 92 % of such pairs directly and more through third documents. Rows are
-    treated as in near_groups."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            found = [word_fingerprints(t, views) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([f[v] for f in found], pa.int64()) for v in range(views)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
-
-    names = [f"f{v}" for v in range(views)]
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = stash(kept.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)])), "views")
-    nodes = stash(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*names)), "nodes")
-    roots = components(_word_edges(nodes, names, budget))
-    joined = stash(nodes.join(roots, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")), "roots")
-    heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
-    named = stash(joined.join(heads, "root").select(*names, "component_id"), "named")
-    return marked.join(named, names).select("doc_id", "component_id")
-
-
 #: Words of a shingle of the pipeline's stage.
 _WORDS = 5
 #: Sampled views: shingles of one fingerprint, and the orders that choose them.
@@ -394,22 +399,77 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stash(once.join(nodes, "copy").select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have that Jaccard similarity or more."""
+def _sizes_allow(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m members can have that Jaccard similarity."""
+    return F.least(n, m) / F.greatest(n, m) >= similarity
+
+
+def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have that Jaccard similarity or more. Sets of too
+    different sizes are out before any set is moved, so what a hub's set is copied
+    for is in proportion to the sets of its partners."""
     once = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    both = once.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    able = (
+        once.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v")
+        .filter(_sizes_allow(F.col("n"), F.col("m"), similarity)).select("u", "v")
+    )
+    both = stash(able, "able").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    # sets of too different sizes are out without being compared
-    able = F.least(F.size("a"), F.size("b")) / F.greatest(F.size("a"), F.size("b")) >= similarity
-    return stash(both.filter(able).filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "verified")
+    return stash(both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "verified")
+
+
+#: Members of a bucket that are compared with each other; larger ones are cut.
+_CAP = 32
+
+
+def _bucket(view: Column | str, key: Column | str) -> Column:
+    return F.xxhash64(view, key)
+
+
+def _open_pairs(rest: DataFrame, nodes: DataFrame, similarity: float, cap: int = _CAP) -> DataFrame:
+    """(u, v): candidates of buckets whose members are in several components, from
+    rest(bucket, used, node, n, root). No bucket above ``cap`` members is compared
+    within: it is cut by size first (each member in two bands of the ratio
+    ``similarity``, so no pair that can link is parted) and then, as often as needed,
+    by each sample that its members aren't grouped by yet, as texts that share one
+    sample and are similar share more. A bucket that is still larger when all samples
+    agree is linked to its first member only."""
+    found, level, step = [], stash(rest, "level"), 0
+    while True:
+        stats = level.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub"))
+        stats = stash(stats.filter("lo <> hi").select("bucket", "members", "hub", F.col("members").alias("n")), "stats")
+        level = stash(spread_join(level.withColumnRenamed("n", "size"), stats, "bucket", level.count()), "level")
+        small = level.filter(F.col("members") <= cap)
+        other = small.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("size").alias("m"))
+        found.append(
+            small.join(other, "bucket")
+            .filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & _sizes_allow(F.col("size"), F.col("m"), similarity))
+            .select(F.col("node").alias("u"), "v").distinct()
+        )
+        big = level.filter(F.col("members") > cap).select("bucket", "used", "node", F.col("size").alias("n"), "root", "hub")
+        if big.isEmpty():
+            break
+        found.append(big.filter(F.bit_count("used") == _SAMPLES).select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v"))
+        if step == 0:
+            band = F.floor(F.log(F.col("n")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int")
+            more = big.select("*", F.explode(F.array(band, band + 1)).alias("_band"))
+            more = more.withColumn("bucket", F.xxhash64("bucket", "_band"))
+        else:
+            open_ = F.expr(f"filter(sequence(0, {_SAMPLES - 1}), w -> (used & shiftleft(1, w)) = 0)")
+            more = big.join(nodes.select("node", "samples"), "node").select("*", F.explode(open_).alias("_view"))
+            more = more.withColumn("bucket", F.col("bucket").bitwiseXOR(_bucket("_view", F.get("samples", F.col("_view")))))
+            more = more.withColumn("used", F.col("used").bitwiseOR(F.expr("shiftleft(1, _view)")))
+        level = stash(more.select("bucket", "used", "node", "n", "root").distinct(), "level")
+        step += 1
+    return stash(_union(found).distinct(), "across")
 
 
 def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, budget: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row of docs, linked where the sets of their
     five-word shingles (a shorter text is one) have that Jaccard similarity or
-    more: fingerprints of distinct words and of sampled shingles only propose pairs,
-    the sets decide. Rows are treated as in near_groups; texts without words are
-    equal."""
+    more: fingerprints of distinct words (SimHash, joined by the trie) and of sampled
+    shingles only propose pairs, the sets decide. Rows are treated as in near_groups;
+    texts without words are equal. Runs jobs while the plan is built."""
     ship(docs.sparkSession)
     names = [f"f{v}" for v in range(views)]
 
@@ -418,39 +478,31 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, bud
             texts = batch.column(2).to_pylist()
             sets = [_shingle_set(t) for t in texts]
             found = [word_fingerprints(t, views) for t in texts]
-            columns = [pa.array([_set_id(s) for s in sets], pa.int64())]
+            columns = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([f[v] for f in found], pa.int64()) for v in range(views)]
             columns.append(pa.array([sampled_fingerprints(s) for s in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "node", *names, "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "node", "size", *names, "samples"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(["doc_id long", "copy long", "node long", *(f"{n} long" for n in names), "samples array<long>"])
+    schema = ", ".join(["doc_id long", "copy long", "node long", "size long", *(f"{n} long" for n in names), "samples array<long>"])
     marked = stash(kept.mapInArrow(run, schema), "views")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), *[F.first(n).alias(n) for n in names], F.first("samples").alias("samples"))
-    nodes = stash(nodes, "nodes")
-    member = nodes.select("node", F.posexplode("samples").alias("view", "key"))
-    keys = member.groupBy("view", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = stash(member.join(keys, ["view", "key"]), "shared")
+    firsts = [F.first(c).alias(c) for c in ("size", *names, "samples")]
+    nodes = stash(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), F.count("*").alias("n"), *firsts), "nodes")
+    sizes = nodes.select("node", F.col("size").alias("n"))
+    member = nodes.select("node", F.col("size"), F.posexplode("samples").alias("view", "key"))
+    member = member.select("node", "size", _bucket("view", "key").alias("bucket"), F.expr("shiftleft(1, view)").alias("used"))
+    keys = stash(member.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "keys")
+    shared = stash(spread_join(member, keys, "bucket", nodes.count() * _SAMPLES), "shared")
     stars = shared.select(F.col("node").alias("u"), F.col("hub").alias("v"))
     edges = stash(_word_edges(nodes.select("node", *names), names, budget).union(stars).filter("u <> v").distinct(), "edges")
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     sets = _sets(docs, nodes.select("node", "copy").join(ends, "node"))
-    sure = _verified(edges, sets, similarity)
-    # a hub that is not similar to a member says nothing of the others: where a key
-    # still has several components, all pairs between them are compared
-    rest = shared.join(components(sure), "node", "left").select("view", "key", "node", F.coalesce("root", "node").alias("root"))
-    rest = stash(rest, "rest")
-    split = rest.groupBy("view", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("view", "key")
-    rest = stash(rest.join(split, ["view", "key"]).join(sets.select("node", F.size("shingles").alias("n")), "node"), "open")
-    other = rest.select("view", "key", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"))
-    able = F.least("n", "m") / F.greatest("n", "m") >= similarity
-    across = rest.join(other, ["view", "key"]).filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & able)
-    more = stash(across.select(F.col("node").alias("u"), "v").distinct(), "across")
-    roots = components(sure.union(_verified(more, sets, similarity)))
-    joined = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
-    heads = stash(joined.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
-    named = stash(joined.join(heads, "root").select("node", "component_id"), "named")
-    return marked.join(named, "node").select("doc_id", "component_id")
+    sure = _verified(edges, sizes, sets, similarity)
+    # a hub that is not similar to a member says nothing of the others
+    rest = shared.join(components(sure), "node", "left").select("bucket", "used", "node", F.col("size").alias("n"), F.coalesce("root", "node").alias("root"))
+    more = _open_pairs(rest, nodes, similarity)
+    named = _named(nodes.select("node", "n", "least"), components(sure.union(_verified(more, sizes, sets, similarity))))
+    return spread_join(marked, named, "node", marked.count()).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, views: int = 3, budget: int = 4) -> DataFrame:
@@ -472,4 +524,4 @@ QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
 #: Fingerprints and reachability are tested against brute force; SQL has no XXH64.
 ORACLE_SQL: dict[str, str] = {}
 
-__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "sampled_fingerprints", "shingle_groups", "text_hashes", "trie_forest", "word_fingerprints", "word_groups"]
+__all__ = ["fingerprints", "fold", "keep_one", "links", "near_groups", "sampled_fingerprints", "shingle_groups", "text_hashes", "trie_forest", "word_fingerprints"]

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plyforge.llm import simhash_trie as S
+from plyforge.llm.graph import components, spread_join
 
 from .fixtures import awkward_texts, docs, words
 
@@ -109,28 +110,78 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert ids.count(None) == 2 and ids.count(7) == 3 and 100 not in ids and 301 not in ids and 300 in ids
 
 
-def test_word_groups_equal_brute_force(spark):
-    rows = awkward_texts()
-    got = Counter((r["doc_id"], r["component_id"]) for r in S.word_groups(docs(spark)).collect())
-    views = [[f & (1 << 64) - 1 for f in S.word_fingerprints(t, 3)] for _, t in rows]
-    label = list(range(len(rows)))
+def flood(n, pairs):
+    """The least member of each class of 0 .. n - 1 under the pairs."""
+    label = list(range(n))
     changed = True
     while changed:
         changed = False
-        for i in range(len(rows)):
-            for j in range(len(rows)):
-                if label[j] > label[i] and any(bin(a ^ b).count("1") <= 4 for a, b in zip(views[i], views[j], strict=True)):
-                    label[j], changed = label[i], True
-    least = {}
-    for (i, _), x in zip(rows, label, strict=True):
-        if i is not None:
-            least[x] = min(least.get(x, i), i)
-    assert got == Counter((i, least.get(x)) for (i, _), x in zip(rows, label, strict=True))
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def test_word_edges_equal_brute_force(spark):
+    texts = [t for _, t in awkward_texts()]
+    views = list(dict.fromkeys(tuple(S.word_fingerprints(t, 3)) for t in texts))
+    nodes = spark.createDataFrame([(i, *v) for i, v in enumerate(views)], "node long, f0 long, f1 long, f2 long")
+    near = [
+        (i, j) for i in range(len(views)) for j in range(i)
+        if any(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in zip(views[i], views[j], strict=True))
+    ]
+    got = [(r["u"], r["v"]) for r in S._word_edges(nodes, ["f0", "f1", "f2"], 4).collect()]
+    assert near and flood(len(views), got) == flood(len(views), near)
+
+
+def test_components_with_hubs_equal_brute_force(spark):
+    rng = random.Random(6)
+    # two hubs with many neighbours, a long chain that ends in one, loose pairs
+    pairs = [(0, i) for i in range(1, 400)] + [(900, i) for i in range(500, 900)] + [(i, i + 1) for i in range(1000, 1040)] + [(1040, 700)]
+    pairs += [(i, i + 1) for i in range(1100, 1140, 2)] + [(7, 7)]
+    rng.shuffle(pairs)
+    frame = spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in pairs + pairs[:50]], "u long, v long")
+    got = {r["node"]: r["root"] for r in components(frame).collect()}
+    want = flood(1200, pairs)
+    assert got == {i: want[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(900)], "id long, k long")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("more", rows.groupBy("k").count()["k"] * 2)
+    got = spread_join(rows, table, "k", 900)
+    assert sorted(got.columns) == ["id", "k", "more"] and sorted((r["id"], r["more"]) for r in got.collect()) == [(i, 2 if i % 3 else 2 * i) for i in range(900)]
+
+
+def test_large_buckets_are_cut_without_loss(spark):
+    """Sets that share most of their shingles, all in one bucket, some of them near copies."""
+    rng = np.random.default_rng(4)
+    shared, sets = rng.integers(0, 2**63, 300, dtype=np.uint64), []
+    for _ in range(60):
+        own = np.r_[shared[: rng.integers(200, 300)], rng.integers(0, 2**63, 110, dtype=np.uint64)]
+        sets += [np.unique(own), np.unique(np.r_[own, rng.integers(0, 2**63, 5, dtype=np.uint64)])]
+    nodes = spark.createDataFrame([(i, [int(x) for x in S.sampled_fingerprints(x)]) for i, x in enumerate(sets)], "node long, samples array<long>")
+    rest = spark.createDataFrame([(7, 0, i, len(x), i) for i, x in enumerate(sets)], "bucket long, used int, node long, n long, root long")
+    got = {(r["u"], r["v"]) for r in S._open_pairs(rest, nodes, 0.8, cap=8).collect()}
+    alike = {(i, j) for j in range(120) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
+    assert len(alike) >= 60 and len(alike - got) <= 1 and len(got) < 120 * 119 / 4
 
 
 def test_empty_table(spark):
     assert S.near_groups(docs(spark, [])).count() == 0
-    assert S.word_groups(docs(spark, [])).count() == 0
+    assert S.shingle_groups(docs(spark, [])).count() == 0 and S.keep_one(docs(spark, [])).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.op1_simhash_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids = sorted(texts)
+    own = [S.fold(S.text_hashes(texts[i], 4)) & (1 << 64) - 1 for i in ids]
+    label = flood(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(own[a] ^ own[b]).count("1") <= 4])
+    assert got == {i: (f"{f:016x}", ids[x]) for i, f, x in zip(ids, own, label, strict=True)}
 
 
 def exact_similarity(a, b):
