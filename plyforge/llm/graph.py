@@ -14,7 +14,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 #: Keys that hold more rows than this, and than their share of _MOST_HOT, are hot.
-_HOT_ROWS, _MOST_HOT = 100, 10_000
+_HOT_ROWS, _MOST_HOT = 10_000, 10_000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -22,6 +22,8 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> Data
     n says how many of the ``total`` rows have it. Keys with very many rows, of which
     there can be _MOST_HOT at most, are broadcast, so their rows stay where they are;
     all others are joined as Spark sees fit."""
+    if total <= _HOT_ROWS:
+        return rows.join(table.drop("n"), key)
     hot = table.filter(F.col("n") > max(_HOT_ROWS, total // _MOST_HOT))
     hot = stash(hot.drop("n"), "hot")
     if hot.isEmpty():
@@ -47,16 +49,18 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.sum(F.when(F.col("v") > F.col("u"), 1).otherwise(0)).alias("n"))
+        # tables that more than one job reads are written out, small ones are made again
+        keep = stash if before[0] > _HOT_ROWS else lambda df, _: df
+        low = keep(low, "low")
         # each edge seen from its lower end: the higher one goes to the least node around
-        turned = spread_join(links.select(F.col("v").alias("u"), F.col("u").alias("far")), stash(low, "low"), "u", before[0])
+        turned = spread_join(links.select(F.col("v").alias("u"), F.col("u").alias("far")), low, "u", before[0])
         large = turned.select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
-        low = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        large = keep(large, "large")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         small = spread_join(large, low.filter("n > 1"), "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         after_links = stash(small, "links")
-        for table in (links, large):
-            unstash(table)
+        unstash(links)
         links, after = after_links, _signature(after_links)
         if after == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -293,7 +293,8 @@ def links(nodes: DataFrame, budget: int = 4, group_limit: int = 200_000) -> Data
     ship(spark)
     keyed = _keyed(nodes, budget, group_limit).select("mask", "key", "fp")
     tasks = -(-nodes.count() * len(block_masks(list(range(BITS)), budget)) // _TASK_ROWS)
-    dealt = keyed.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "mask", "key")
+    usual = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition("mask", "key") if usual else keyed.repartition(tasks, "mask", "key")
     return dealt.sortWithinPartitions("mask", "key").mapInArrow(run, "u long, v long")
 
 
@@ -413,7 +414,7 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: f
         once.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v")
         .filter(_sizes_allow(F.col("n"), F.col("m"), similarity)).select("u", "v")
     )
-    both = stash(able, "able").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = able.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return stash(both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "verified")
 
@@ -438,6 +439,8 @@ def _open_pairs(rest: DataFrame, nodes: DataFrame, similarity: float, cap: int =
     while True:
         stats = level.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub"))
         stats = stash(stats.filter("lo <> hi").select("bucket", "members", "hub", F.col("members").alias("n")), "stats")
+        if step and stats.isEmpty():
+            break
         level = stash(spread_join(level.withColumnRenamed("n", "size"), stats, "bucket", level.count()), "level")
         small = level.filter(F.col("members") <= cap)
         other = small.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("size").alias("m"))
