@@ -388,16 +388,18 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of nodes(node, copy): copy is the hash of a text of docs."""
+    """(node, shingles) of nodes(node, copy, least): copy is the hash of a text of docs,
+    least the doc_id that has it (null: rows without one). One row of each mass of
+    copies is read again, so a mass isn't moved."""
 
     def run(batches):
         for batch in batches:
             found = [_shingle_set(t).view("<i8") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    texts = docs.select(F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
-    once = texts.join(nodes.select("copy"), "copy", "left_semi").dropDuplicates(["copy"])
-    return stash(once.join(nodes, "copy").select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_copy"), F.col("text").cast("string").alias("text"))
+    own = texts.join(nodes, (texts["_copy"] == nodes["copy"]) & texts["_id"].eqNullSafe(nodes["least"]))
+    return stash(own.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
 def _sizes_allow(n: Column, m: Column, similarity: float) -> Column:
@@ -419,52 +421,39 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: f
     return stash(both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"), "verified")
 
 
-#: Members of a bucket that are compared with each other; larger ones are cut.
-_CAP = 32
-
-
 def _bucket(view: Column | str, key: Column | str) -> Column:
     return F.xxhash64(view, key)
 
 
-def _open_pairs(rest: DataFrame, nodes: DataFrame, similarity: float, cap: int = _CAP) -> DataFrame:
-    """(u, v): candidates of buckets whose members are in several components, from
-    rest(bucket, used, node, n, root). No bucket above ``cap`` members is compared
-    within: it is cut by size first (each member in two bands of the ratio
-    ``similarity``, so no pair that can link is parted) and then, as often as needed,
-    by each sample that its members aren't grouped by yet, as texts that share one
-    sample and are similar share more. A bucket that is still larger when all samples
-    agree is linked to its first member only."""
-    found, level, step = [], stash(rest, "level"), 0
-    while True:
-        stats = level.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub"))
-        stats = stash(stats.filter("lo <> hi").select("bucket", "members", "hub", F.col("members").alias("n")), "stats")
-        if step and stats.isEmpty():
-            break
-        level = stash(spread_join(level.withColumnRenamed("n", "size"), stats, "bucket", level.count()), "level")
-        small = level.filter(F.col("members") <= cap)
-        other = small.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("size").alias("m"))
-        found.append(
-            small.join(other, "bucket")
-            .filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & _sizes_allow(F.col("size"), F.col("m"), similarity))
-            .select(F.col("node").alias("u"), "v").distinct()
-        )
-        big = level.filter(F.col("members") > cap).select("bucket", "used", "node", F.col("size").alias("n"), "root", "hub")
-        if big.isEmpty():
-            break
-        found.append(big.filter(F.bit_count("used") == _SAMPLES).select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v"))
-        if step == 0:
-            band = F.floor(F.log(F.col("n")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int")
-            more = big.select("*", F.explode(F.array(band, band + 1)).alias("_band"))
-            more = more.withColumn("bucket", F.xxhash64("bucket", "_band"))
-        else:
-            open_ = F.expr(f"filter(sequence(0, {_SAMPLES - 1}), w -> (used & shiftleft(1, w)) = 0)")
-            more = big.join(nodes.select("node", "samples"), "node").select("*", F.explode(open_).alias("_view"))
-            more = more.withColumn("bucket", F.col("bucket").bitwiseXOR(_bucket("_view", F.get("samples", F.col("_view")))))
-            more = more.withColumn("used", F.col("used").bitwiseOR(F.expr("shiftleft(1, _view)")))
-        level = stash(more.select("bucket", "used", "node", "n", "root").distinct(), "level")
-        step += 1
-    return stash(_union(found).distinct(), "across")
+def _stars(members: DataFrame, total: int) -> DataFrame:
+    """members(bucket, node, ...) of buckets with more than one, with first and last:
+    two hubs that all members are compared with, so a bucket of n costs 2 n pairs."""
+    ends = stash(members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last"), "ends")
+    return spread_join(members, ends, "bucket", total)
+
+
+def _edges(stars: DataFrame) -> DataFrame:
+    both = stars.select(F.col("node").alias("u"), F.explode(F.array("first", "last")).alias("v"))
+    return both.filter("u <> v")
+
+
+def _finer(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): more candidates for buckets of shared(bucket, used, node) whose members
+    roots(node, root) leave in several components: a member that isn't like either hub
+    may be like another member. Such members are dealt to finer buckets, one for each
+    further sample, and compared with the hubs of these."""
+    rest = shared.select("bucket", "used", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stash(rest, "rest")
+    split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket", "n")
+    open_ = stash(spread_join(rest, stash(split, "split"), "bucket", rest.count()), "open")
+    further = F.expr(f"filter(sequence(0, {_SAMPLES - 1}), w -> w <> used)")
+    finer = open_.join(nodes.select("node", "samples"), "node").select("bucket", "node", "root", "samples", F.explode(further).alias("view"))
+    # the same two samples in either order are one bucket
+    members = finer.select(F.col("bucket").bitwiseXOR(_bucket("view", F.get("samples", F.col("view")))).alias("bucket"), "node", "root").distinct()
+    members = stash(members, "finer")
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
+    total = members.count()
+    return _edges(_stars(spread_join(members, stash(mixed, "mixed"), "bucket", total), total)).distinct()
 
 
 def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, budget: int = 4) -> DataFrame:
@@ -490,20 +479,16 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, views: int = 3, bud
     schema = ", ".join(["doc_id long", "copy long", "node long", "size long", *(f"{n} long" for n in names), "samples array<long>"])
     marked = stash(kept.mapInArrow(run, schema), "views")
     firsts = [F.first(c).alias(c) for c in ("size", *names, "samples")]
-    nodes = stash(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), F.count("*").alias("n"), *firsts), "nodes")
+    copy = F.coalesce(F.min_by("copy", "doc_id"), F.min("copy"))
+    nodes = stash(marked.groupBy("node").agg(F.min("doc_id").alias("least"), copy.alias("copy"), F.count("*").alias("n"), *firsts), "nodes")
     sizes = nodes.select("node", F.col("size").alias("n"))
-    member = nodes.select("node", F.col("size"), F.posexplode("samples").alias("view", "key"))
-    member = member.select("node", "size", _bucket("view", "key").alias("bucket"), F.expr("shiftleft(1, view)").alias("used"))
-    keys = stash(member.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "keys")
-    shared = stash(spread_join(member, keys, "bucket", nodes.count() * _SAMPLES), "shared")
-    stars = shared.select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    edges = stash(_word_edges(nodes.select("node", *names), names, budget).union(stars).filter("u <> v").distinct(), "edges")
+    member = nodes.select("node", F.posexplode("samples").alias("used", "key")).select("node", "used", _bucket("used", "key").alias("bucket"))
+    shared = stash(_stars(member, nodes.count() * _SAMPLES), "shared")
+    edges = stash(_word_edges(nodes.select("node", *names), names, budget).union(_edges(shared)).filter("u <> v").distinct(), "edges")
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    sets = _sets(docs, nodes.select("node", "copy").join(ends, "node"))
+    sets = _sets(docs, nodes.select("node", "copy", "least").join(ends, "node"))
     sure = _verified(edges, sizes, sets, similarity)
-    # a hub that is not similar to a member says nothing of the others
-    rest = shared.join(components(sure), "node", "left").select("bucket", "used", "node", F.col("size").alias("n"), F.coalesce("root", "node").alias("root"))
-    more = _open_pairs(rest, nodes, similarity)
+    more = _finer(shared, components(sure), nodes)
     named = _named(nodes.select("node", "n", "least"), components(sure.union(_verified(more, sizes, sets, similarity))))
     return spread_join(marked, named, "node", marked.count()).select("doc_id", "component_id")
 

@@ -156,18 +156,22 @@ def test_hot_keys_are_joined_like_others(spark):
     assert sorted(got.columns) == ["id", "k", "more"] and sorted((r["id"], r["more"]) for r in got.collect()) == [(i, 2 if i % 3 else 2 * i) for i in range(900)]
 
 
-def test_large_buckets_are_cut_without_loss(spark):
-    """Sets that share most of their shingles, all in one bucket, some of them near copies."""
-    rng = np.random.default_rng(4)
-    shared, sets = rng.integers(0, 2**63, 300, dtype=np.uint64), []
-    for _ in range(60):
-        own = np.r_[shared[: rng.integers(200, 300)], rng.integers(0, 2**63, 110, dtype=np.uint64)]
-        sets += [np.unique(own), np.unique(np.r_[own, rng.integers(0, 2**63, 5, dtype=np.uint64)])]
-    nodes = spark.createDataFrame([(i, [int(x) for x in S.sampled_fingerprints(x)]) for i, x in enumerate(sets)], "node long, samples array<long>")
-    rest = spark.createDataFrame([(7, 0, i, len(x), i) for i, x in enumerate(sets)], "bucket long, used int, node long, n long, root long")
-    got = {(r["u"], r["v"]) for r in S._open_pairs(rest, nodes, 0.8, cap=8).collect()}
-    alike = {(i, j) for j in range(120) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
-    assert len(alike) >= 60 and len(alike - got) <= 1 and len(got) < 120 * 119 / 4
+def test_pairs_in_a_crowd_are_found(spark):
+    """Texts that share their larger half, nearly all in some bucket together, and near
+    copies of every fourth: the pairs that finer buckets propose grow with the members."""
+    rng = random.Random(31)
+    shared, rows, want = words(rng, 170), [], set()
+    for i in range(240):
+        own = shared + words(rng, 100)
+        rows.append((i, " ".join(own)))
+        if i % 4 == 0:
+            copy = own + words(rng, 20)
+            rows.append((1000 + i, " ".join(copy)))
+            want.add(i)
+    assert all(exact_similarity(rows[i][1], rows[j][1]) < 0.7 for i, j in ((0, 2), (4, 9), (10, 30)))
+    label = {r["doc_id"]: r["component_id"] for r in S.shingle_groups(docs(spark, rows)).collect()}
+    assert all(label[i] == i for i in range(240))
+    assert sum(label[1000 + i] == i for i in want) >= 0.95 * len(want)
 
 
 def test_empty_table(spark):
