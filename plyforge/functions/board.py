@@ -37,11 +37,18 @@ def ranks(fen: Column) -> Column:
     return F.transform(F.split(board_field(fen), "/"), expand_rank)
 
 
-def ascii_board(fen: Column) -> Column:
+def placed(fen: Column) -> Column:
+    """The board's ranks with blanks between cells."""
     spaced = F.transform(ranks(fen), lambda r: F.array_join(F.filter(F.split(r, ""), lambda c: c != ""), " "))
     return F.array_join(spaced, "\n")
 
 
+def ascii_board(fen: Column) -> Column:
+    """The board with the numbers of its ranks in front and the files' letters below."""
+    numbered = F.transform(F.split(placed(fen), "\n"), lambda r, i: F.concat((8 - i).cast("string"), F.lit(" "), r))
+    return F.concat(F.array_join(numbered, "\n"), F.lit("\n  a b c d e f g h"))
+
+
 def count_piece(fen: Column, piece: str) -> Column:
     field = board_field(fen)
     return F.length(field) - F.length(F.replace(field, F.lit(piece), F.lit("")))

@@ -52,11 +52,12 @@ def _structure(p, side):
 
 
 def _exchanges(p):
-    takes = [m for m in p.legal() if m[3] == "ep" or (p.cells[m[1]] and m[3] != "castle")]
-    return sorted(f"{p.uci(m)}:{chess.exchange(p, m)}" for m in takes)
+    from . import answers
+
+    takes = [m for m in p.legal() if m[3] not in ("ep", "castle") and p.cells[m[1]] and not m[2]]
+    return sorted(f"{p.uci(m)}:{answers.exchange_sequence(p, m)[1]}" for m in takes)
 
 
-canonical_key = _per_row("string", lambda p: p.key())
 legal_moves = _per_row("array<string>", lambda p: sorted(p.uci(m) for m in p.legal()))
 check_state = _per_row("string", chess.check_state)
 legality_reason = _per_row("string", _reason)

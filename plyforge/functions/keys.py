@@ -26,20 +26,13 @@ def position_fields(fen: Column) -> Column:
     return F.array_join(F.slice(F.split(F.trim(fen), r"\s+"), 1, 4), " ")
 
 
-def variant_key(fen_key: Column, is_chess960: Column) -> Column:
-    return F.concat(F.when(F.coalesce(is_chess960, F.lit(False)), F.lit("960:")).otherwise(F.lit("std:")), fen_key)
-
-
-def blocked_keys(fen_key: Column) -> Column:
-    """Keys under which a position without castling rights is blocked: both variants."""
-    castle_less = F.get(F.split(fen_key, " "), F.lit(2)) == "-"
-    plain = F.regexp_replace(fen_key, "^(std|960):", "")
-    return F.when(castle_less, F.array(F.concat(F.lit("std:"), plain), F.concat(F.lit("960:"), plain))).otherwise(F.array(fen_key))
-
-
-def example_identity(task: Column, *fields: Column) -> Column:
-    """task, a colon and 24 hexadecimal digits of the fields' digest."""
-    body = F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in (task, *fields)])
+def example_identity(task: Column, fen_key: Column, fields: Column) -> Column:
+    """task, a colon and 24 hexadecimal digits of the digest of what makes an example:
+    its position's key and those of ``fields`` (a map) that aren't empty, as one JSON
+    object in order of the names, so that no two different examples are written alike."""
+    own = F.array_sort(F.map_entries(F.map_filter(fields, lambda k, v: F.coalesce(v, F.lit("")) != "")))
+    quoted = lambda c: F.regexp_replace(F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 30), r"\}$", "")
+    body = F.concat(F.lit('{"fen":'), quoted(fen_key), F.lit(',"fields":'), F.to_json(F.map_from_entries(own)), F.lit(',"task":'), quoted(task), F.lit("}"))
     return F.concat(task, F.lit(":"), F.substring(F.sha2(body, 256), 1, 24))
 
 

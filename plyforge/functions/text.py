@@ -5,63 +5,124 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of the answer formats.
+# Patterns of the answer formats, tokens of chat templates, wording of errors.
 UCI = r"[a-h][1-8][a-h][1-8][qrbn]?"
-FEN = r"(?:[pnbrqkPNBRQK1-8]+/){7}[pnbrqkPNBRQK1-8]+ [wb] (?:[KQkqA-Ha-h]+|-) (?:[a-h][36]|-)(?: \d+ \d+)?"
-MOVE_TAG = rf"(?is)<move>\s*({UCI})\s*</move>"
-THINK_MOVE = rf"(?is)^\s*<think>.*</think>\s*<move>\s*{UCI}\s*</move>\s*$"
+FEN = r"(?:[prnbqk1-8]+/){7}[prnbqk1-8]+\s+[wb]\s+(?:-|[a-hkq]+)\s+(?:-|[a-h][36])(?:\s+\d+\s+\d+)?"
+MOVE_TAG = rf"<move>\s*({UCI})\s*</move>"
+STRICT_MOVE_TAG = rf"<move>({UCI})</move>"
+THINK_MOVE = rf"(?s)^<think>.*?</think>\s*<move>{UCI}</move>\s*$"
+CHAT_TOKENS = ("<|im_end|>", "<|endoftext|>", "<|assistant|>", "<|user|>")
+AMBIGUOUS_TAGS, AMBIGUOUS_PROSE, NO_MOVE_FOUND = "ambiguous move tags", "ambiguous UCI moves in prose", "no UCI move found"
+PREFIX_CHARS = 80
 # Fixed values end.
 
+#: White space as strip() takes it, and where a text is cut into lines.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """regexp_extract with null in place of no match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
 def normalize(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(strip(text))
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text that aren't blank, stripped."""
+    return F.filter(F.transform(F.split(text, LINE_ENDS), strip), lambda x: x != "")
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(strip(text), r"(?U)\s+"), lambda w: w != "")
+
+
+def squeeze(text: Column) -> Column:
+    """The words of a text with one blank between them."""
+    return F.array_join(words(text), " ")
 
 
 def normalize_prediction(text: Column) -> Column:
     """Without think blocks, chat tokens and a leading role."""
     bare = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    bare = F.regexp_replace(bare, r"<\|[^|>]*\|>", "")
-    return F.trim(F.regexp_replace(bare, r"(?i)^\s*assistant\s*:?\s+", ""))
+    for token in CHAT_TOKENS:
+        bare = F.replace(bare, F.lit(token), F.lit(" "))
+    bare = F.regexp_replace(bare, r"(?i)<\|im_start\|>\s*assistant", " ")
+    return strip(F.regexp_replace(bare, r"(?i)^\s*assistant\s*:?\s*", ""))
 
 
 def strip_fens(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?i){FEN}", "")
+    """A blank in place of each complete FEN: ranks like b2b4 would read as moves."""
+    return F.regexp_replace(text, f"(?i){FEN}", " ")
+
+
+def uci_list(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"\b({UCI})\b"), F.lit(1))
 
 
 def uci_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b({UCI})\b"), F.lit(1)))
+    return F.array_distinct(uci_list(text))
+
+
+def strict_move(text: Column) -> Column:
+    """The move of the first tag in exact form: lower case, no blanks; null if none."""
+    return found(text, STRICT_MOVE_TAG)
+
+
+def first_move(text: Column) -> Column:
+    """The first move: in an exact tag, as the whole text, or in prose without FENs."""
+    low = normalize(text)
+    return F.coalesce(strict_move(text), found(low, rf"^({UCI})$"), F.get(uci_list(strip_fens(low)), F.lit(0)))
 
 
 def extract_move(text: Column) -> Column:
-    """The first move: in a tag, as the whole text, or in prose without FENs."""
-    low = F.lower(text)
-    return F.coalesce(found(low, MOVE_TAG), found(low, rf"^\s*({UCI})\s*$"), found(strip_fens(low), rf"\b({UCI})\b"))
+    """first_move of a prediction without its thoughts and chat tokens."""
+    return first_move(normalize_prediction(text))
+
+
+def json_move(text: Column) -> Column:
+    """The field move_uci of a JSON object, if it is a move."""
+    bare = strip(text)
+    value = normalize(F.get_json_object(bare, "$.move_uci"))
+    return F.when(bare.startswith("{") & bare.endswith("}") & value.rlike(f"^{UCI}$"), value)
 
 
 def parse_answer(text: Column) -> Column:
-    """struct(move_uci, format_type, parse_error): tag, then JSON, then a bare move,
-    then prose that names one move only."""
-    low = F.lower(text)
-    tag = found(low, MOVE_TAG)
-    js = F.when(F.trim(text).startswith("{"), F.lower(F.get_json_object(F.trim(text), "$.move_uci")))
-    bare = found(low, rf"^\s*({UCI})\s*$")
+    """struct(move_uci, format_type, parse_error): tags first, which must agree, then
+    a JSON object, then a bare move, then prose that names one move only."""
+    tagged = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(MOVE_TAG), F.lit(1)))
+    js, bare = json_move(text), found(normalize(text), rf"^({UCI})$")
     named = uci_set(strip_fens(text))
-    prose = F.when(F.size(named) == 1, F.get(named, F.lit(0)))
+    only = lambda moves: F.when(F.size(moves) == 1, F.get(moves, F.lit(0)))
+    tags = F.size(tagged) > 0
     kind = (
-        F.when(tag.isNotNull(), "move_tag").when(js.isNotNull(), "json").when(bare.isNotNull(), "bare_uci")
-        .when(prose.isNotNull(), "prose").otherwise("unparsed")
+        F.when(tags, F.when(F.size(tagged) == 1, "move_tag").otherwise("none")).when(js.isNotNull(), "json")
+        .when(bare.isNotNull(), "bare_uci").when(F.size(named) == 1, "prose_uci").otherwise("none")
     )
-    error = F.when(kind == "unparsed", F.when(F.size(named) > 1, F.lit("ambiguous_move")).otherwise(F.lit("no_move")))
-    return F.struct(F.coalesce(tag, js, bare, prose).alias("move_uci"), kind.alias("format_type"), error.alias("parse_error"))
+    error = F.when(tags, AMBIGUOUS_TAGS).when(F.size(named) > 1, AMBIGUOUS_PROSE).otherwise(NO_MOVE_FOUND)
+    move = F.when(tags, only(tagged)).otherwise(F.coalesce(js, bare, only(named)))
+    return F.struct(move.alias("move_uci"), kind.alias("format_type"), F.when(kind == "none", error).alias("parse_error"))
 
 
 def valid_think_move(text: Column) -> Column:
-    return text.rlike(THINK_MOVE)
+    return F.coalesce(text.rlike(THINK_MOVE), F.lit(False))
+
+
+def excerpt(text: Column, most: int) -> Column:
+    """The words of a text, cut with three dots where they pass ``most`` characters."""
+    bare = squeeze(text)
+    return F.when(F.length(bare) <= most, bare).otherwise(F.concat(F.substring(bare, 1, most - 3), F.lit("...")))
+
+
+def prediction_prefix(text: Column) -> Column:
+    """The first line that isn't blank, 80 characters at most; "" if there is none."""
+    return F.coalesce(excerpt(F.get(lines(text), F.lit(0)), PREFIX_CHARS), F.lit(""))
 
 
 def template_complete(text: Column) -> Column:
@@ -69,7 +130,7 @@ def template_complete(text: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(words(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
@@ -104,23 +165,8 @@ def prefix_ratio(pred: Column, gold: Column) -> Column:
 
 
 def pass_at_k(samples: Column, gold: Column, k: int) -> Column:
-    return F.exists(F.slice(samples, 1, k), lambda s: s == gold).cast("double")
-
-
-def format_family(text: Column) -> Column:
-    """The first of an ordered list of output formats that a prediction has."""
-    t = F.trim(text)
-    return (
-        F.when(t.isNull() | (t == ""), "empty")
-        .when(t.rlike(r"(?is)<think>.*</think>\s*<move>"), "think_move")
-        .when(t.rlike(r"(?i)<move>"), "move_tag")
-        .when(t.startswith("{"), "json")
-        .when(t.rlike(rf"^{UCI}$"), "bare_uci")
-        .when(t.rlike(r"(?i)^(yes|no)\b"), "yes_no")
-        .when(t.rlike(r"^[0-9]"), "numeric")
-        .when(F.size(F.split(t, r"\s+")) <= 12, "short_text")
-        .otherwise("prose")
-    )
+    """1 if a move of the first k samples is the gold move, upper or lower case."""
+    return F.coalesce(F.exists(F.slice(samples, 1, k), lambda s: extract_move(s) == normalize(gold)), F.lit(False)).cast("double")
 
 
 def theme_words(theme: Column) -> Column:

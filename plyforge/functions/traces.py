@@ -1,55 +1,134 @@
-"""Numbered traces and single-line faults in them, as Column expressions."""
+"""Single-line faults in traces, with the verifier's label, as Column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import CANDIDATE, CANDIDATE_BEST
-from .text import UCI
+from . import metrics as M
+from . import text as X
 
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-
-
-def _change(text: Column, matches, new) -> Column:
-    """struct(text, line): the first line that matches rewritten, and its number from
-    1; null where no line matches or none changes."""
-    lines = _lines(text)
-    at = F.array_position(F.transform(lines, matches), True).cast("int")
-    out = F.transform(lines, lambda x, i: F.when(i + 1 == at, new(x)).otherwise(x))
-    return F.when((at > 0) & (out != lines), F.struct(F.array_join(out, "\n").alias("text"), at.alias("line")))
-
-
-def wrong_best_line(text: Column) -> Column:
-    """The best move replaced by the last other candidate."""
-    lines = _lines(text)
-    best = F.get(F.filter(F.transform(lines, lambda x: F.lower(F.regexp_extract(x, CANDIDATE_BEST, 1))), lambda x: x != ""), F.lit(0))
-    others = F.filter(F.transform(lines, lambda x: F.lower(F.regexp_extract(x, CANDIDATE, 1))), lambda x: (x != "") & (x != best))
-    return F.when(F.size(others) > 0, _change(text, lambda x: x.rlike(CANDIDATE_BEST), lambda x: F.concat(F.lit("Best: "), F.element_at(others, -1))))
-
-
-def wrong_bucket_line(text: Column) -> Column:
-    wrong = lambda x: F.when(F.contains(F.lower(x), F.lit("equal")), F.regexp_replace(x, r"(Bucket:\s*).*$", "$1winning")).otherwise(F.regexp_replace(x, r"(Bucket:\s*).*$", "$1equal"))
-    return _change(text, lambda x: x.rlike(CANDIDATE), wrong)
-
-
-def flipped_sign_line(text: Column) -> Column:
-    flip = lambda x: F.when(x.rlike(r":\s*-\d+cp"), F.regexp_replace(x, r"(:\s*)-(\d+cp)", "$1+$2")).otherwise(F.regexp_replace(x, r"(:\s*)\+?(\d+cp)", "$1-$2"))
-    return _change(text, lambda x: x.rlike(r":\s*[+-]?[1-9]\d*cp"), flip)
-
-
-def malformed_line(text: Column) -> Column:
-    return _change(text, lambda x: x.rlike(CANDIDATE), lambda x: F.regexp_replace(x, r";\s*Bucket:", " Bucket"))
-
-
-def wrong_material_line(text: Column) -> Column:
-    """The balance sentence with the sides changed, or one side ahead if equal."""
-    swap = lambda x: F.when(x.startswith("White"), F.regexp_replace(x, "^White", "Black")).when(x.startswith("Black"), F.regexp_replace(x, "^Black", "White")).otherwise(F.lit("White is up 1 point(s) of material."))
-    return _change(text, lambda x: x.rlike(r"^(?:White|Black) is up \d+ point|^Material is equal"), swap)
-
-
-def wrong_final_set_line(text: Column, prefix: str = "All legal moves:") -> Column:
-    """The last move left out of the final list."""
-    return _change(text, lambda x: x.startswith(prefix) & x.rlike(rf"{UCI}\s+{UCI}"), lambda x: F.regexp_replace(x, rf"\s+{UCI}\s*$", ""))
+# Wording of faults, labels and corrections; kinds of cases.
+RATING_LINE = rf"(?i)^Candidate\s+({X.UCI}):\s*({M.SCORE});\s*Bucket:\s*(.+?)\s*$"
+WRONG_BUCKET, OTHER_WRONG_BUCKET = "decisive", "equal"
+BALANCE, WRONG_BALANCE = "Balance:", "Balance: White is ahead by 99."
+SOUND = ("sound", "none", "none", "none")
+CASES = {
+    "7.8_candidate_ratings": (
+        ("best", "candidate_rating_wrong_best", "hard"), ("bucket", "candidate_rating_wrong_bucket", "hard"),
+        ("sign", "candidate_rating_wrong_eval", "hard"), ("malformed", "candidate_rating_malformed_line", "easy"),
+    ),
+    "1.18_material_balance_trace": (("balance", "material_balance_wrong_eval", "easy"),),
+    "2.10_ray_walk": (("Moves from rays:", "ray_walk_wrong_move_set", "medium"),),
+    "2.11_legal_filter_trace": (("All legal moves:", "legal_filter_wrong_move_set", "medium"),),
+}
+SOUND_KINDS = {"7.8_candidate_ratings": "candidate_rating_sound", "1.18_material_balance_trace": "material_balance_sound", "2.10_ray_walk": "ray_walk_sound", "2.11_legal_filter_trace": "legal_filter_sound"}
+# Fixed values end.
+
+
+def _fault(lines: Column, at: Column, new: Column, error: str, correction: Column) -> Column:
+    """struct(text, faulty_line, error_type, correction) of the lines with line ``at``
+    (from 1; 0 or null: no such line) replaced; null where nothing changes."""
+    changed = F.transform(lines, lambda x, i: F.when(i + 1 == at, new).otherwise(x))
+    struct = F.struct(F.array_join(changed, "\n").alias("text"), at.cast("int").alias("faulty_line"), F.lit(error).alias("error_type"), correction.alias("correction"))
+    return F.when((F.coalesce(at, F.lit(0)) > 0) & (changed != lines), struct)
+
+
+def _first(lines: Column, pattern: str) -> tuple[Column, Column]:
+    """The place of the first line that matches, and the line."""
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
+    return at, F.get(lines, (at - 1).cast("int"))
+
+
+def _part(line: Column, i: int) -> Column:
+    return F.regexp_extract(line, RATING_LINE, i)
+
+
+def wrong_best(text: Column) -> Column:
+    """Another candidate, the first, in the last line "Best: ..."."""
+    own = X.lines(text)
+    best = F.lower(F.regexp_extract(F.try_element_at(own, F.lit(-1)), M.CANDIDATE_BEST, 1))
+    named = F.filter(F.transform(own, lambda x: F.lower(F.regexp_extract(x, rf"(?i)^Candidate\s+({X.UCI}):", 1))), lambda m: (m != "") & (m != best))
+    at = F.when((F.size(own) >= 6) & (best != "") & (F.size(named) > 0), F.size(own))
+    return _fault(own, at, F.concat(F.lit("Best: "), F.get(named, F.lit(0))), "wrong_best", F.concat(F.lit("Best should be "), best, F.lit(".")))
+
+
+def wrong_bucket(text: Column) -> Column:
+    """The first candidate's bucket replaced."""
+    own = X.lines(text)
+    at, line = _first(own, RATING_LINE)
+    uci, bucket = F.lower(_part(line, 1)), X.squeeze(F.lower(_part(line, 3)))
+    other = F.when(bucket == WRONG_BUCKET, OTHER_WRONG_BUCKET).otherwise(WRONG_BUCKET)
+    new = F.concat(F.lit("Candidate "), uci, F.lit(": "), _part(line, 2), F.lit("; Bucket: "), other)
+    return _fault(own, at, new, "wrong_bucket", F.concat(F.lit("Candidate "), uci, F.lit(" bucket should be "), bucket, F.lit(".")))
+
+
+def flipped_sign(text: Column) -> Column:
+    """The first candidate's score in centipawns, if not zero, with its sign changed."""
+    own = X.lines(text)
+    at, line = _first(own, r"(?i)^Candidate\s+" + X.UCI + r":\s*[+-]0*[1-9]\d*cp;\s*Bucket:\s*.+$")
+    uci, score = F.lower(_part(line, 1)), _part(line, 2)
+    new = F.concat(F.lit("Candidate "), uci, F.lit(": "), F.translate(score, "+-", "-+"), F.lit("; Bucket: "), _part(line, 3))
+    return _fault(own, at, new, "wrong_eval", F.concat(F.lit("Candidate "), uci, F.lit(" score should be "), score, F.lit(".")))
+
+
+def malformed(text: Column) -> Column:
+    """The first candidate's line without the colon after its move."""
+    own = X.lines(text)
+    at, line = _first(own, RATING_LINE)
+    new = F.concat(F.lit("Candidate "), F.lower(_part(line, 1)), F.lit(" "), _part(line, 2), F.lit("; Bucket: "), _part(line, 3))
+    return _fault(own, at, new, "malformed_line", F.concat(F.lit("Line should be `"), line, F.lit("`.")))
+
+
+def _prefixed(text: Column, prefix: str, new: str, error: str) -> Column:
+    own = X.lines(text)
+    at = F.array_position(F.transform(own, lambda x: x.startswith(prefix)), True)
+    line = F.get(own, (at - 1).cast("int"))
+    return _fault(own, at, F.lit(new), error, F.concat(F.lit("Line should be `"), line, F.lit("`.")))
+
+
+def wrong_balance(text: Column) -> Column:
+    return _prefixed(text, BALANCE, WRONG_BALANCE, "wrong_eval")
+
+
+def wrong_final_set(text: Column, prefix: str) -> Column:
+    """No moves in the first line with that beginning."""
+    return _prefixed(text, prefix, f"{prefix} none", "wrong_move_set")
+
+
+def step_answer(verdict: Column, line: Column, error: Column, correction: Column) -> Column:
+    names = [n for n, _ in M.STEP_LINES]
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), v) for n, v in zip(names, (verdict, line, error, correction), strict=True)])
+
+
+def verification_cases(rows: DataFrame, task: str = "task", answer: str = "answer") -> DataFrame:
+    """The rows of traces that can be verified, once for each fault that can be put into
+    the trace and once as it is: with displayed_trace, verification_trace (numbered),
+    corruption_kind, difficulty, verification_verdict, faulty_line, error_type,
+    correction and expected_answer. A trace no fault fits is left out, unless it rates
+    candidates."""
+    own = F.col(answer)
+    makers = {"best": wrong_best, "bucket": wrong_bucket, "sign": flipped_sign, "malformed": malformed, "balance": wrong_balance}
+    case = "struct<text:string,verdict:string,line:string,error:string,correction:string,kind:string,difficulty:string>"
+    found = F.array().cast(f"array<{case}>")
+    for name, kinds in CASES.items():
+        made = []
+        for how, kind, difficulty in kinds:
+            fault = makers[how](own) if how in makers else wrong_final_set(own, how)
+            made.append(F.when(fault.isNotNull(), F.struct(
+                fault["text"].alias("text"), F.lit("broken").alias("verdict"), fault["faulty_line"].cast("string").alias("line"), fault["error_type"].alias("error"),
+                fault["correction"].alias("correction"), F.lit(kind).alias("kind"), F.lit(difficulty).alias("difficulty"),
+            )))
+        verdict, line, error, correction = (F.lit(x) for x in SOUND)
+        sound = F.struct(own.alias("text"), verdict.alias("verdict"), line.alias("line"), error.alias("error"), correction.alias("correction"), F.lit(SOUND_KINDS[name]).alias("kind"), F.lit("sound").alias("difficulty"))
+        broken = F.array_compact(F.array(*made))
+        always = name == "7.8_candidate_ratings"
+        cases = F.concat(broken, F.array(sound)) if always else F.when(F.size(broken) > 0, F.concat(broken, F.array(sound))).otherwise(F.array().cast(f"array<{case}>"))
+        found = F.when(F.col(task) == name, cases).otherwise(found)
+    each = rows.withColumn("_case", F.explode(found))
+    c = lambda f: F.col(f"_case.{f}")
+    return each.select(
+        *[x for x in rows.columns], c("text").alias("displayed_trace"), M.number_lines(c("text")).alias("verification_trace"), c("kind").alias("corruption_kind"),
+        c("difficulty").alias("difficulty"), c("verdict").alias("verification_verdict"), c("line").alias("faulty_line"), c("error").alias("error_type"), c("correction").alias("correction"),
+        step_answer(c("verdict"), c("line"), c("error"), c("correction")).alias("expected_answer"),
+    )

@@ -31,10 +31,10 @@ def with_rank(df: DataFrame, keys: list[str], order: Column, name: str, bucket:
     )
 
 
-def with_running_sum(df: DataFrame, order: Column, value: str, name: str) -> DataFrame:
-    """df with the sum of ``value`` over all rows up to each in a hash order, itself
+def with_running_sum(df: DataFrame, order: Column, value: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """df with the sum of ``value`` over all rows up to each in an order, itself
     included; as in with_rank, buckets are summed up first."""
-    marked = df.withColumn("_order", order).withColumn("_bucket", radix(F.col("_order")))
+    marked = df.withColumn("_order", order).withColumn("_bucket", radix(F.col("_order")) if bucket is None else bucket)
     sums = marked.groupBy("_bucket").agg(F.sum(value).alias("_n"))
     run = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     before = sums.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))

@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 from .joins import first_reason
 from .ranking import with_rank
 
+# Buckets of judgments, tasks of refresh rows, tasks they come from.
+PARSE_FAILURE, ILLEGAL_MOVE, MISSING_FEN, INVALID_FEN, LEGAL_UNSCORED = "parse_failure", "illegal_move", "missing_fen", "invalid_fen", "legal_unscored"
+FORMAT_REPAIR, MOVE_CORRECTION = "7.4_autodata_format_repair", "7.5_autodata_move_correction"
+MOVE_TASKS = ("best_move", "puzzle_solve", "endgame_best_move", "tactical_patterns")
+LEAST_REGRET = 100.0
+# Fixed values end.
 
-def refresh_task(failure: Column, legal: Column, regret: Column, least: float) -> Column:
+
+def refresh_task(failure: Column, legal: Column, regret: Column, least: float = LEAST_REGRET) -> Column:
+    """What a judgment is refreshed into: the format, the move (illegal, or legal and
+    worse by ``least`` centipawns), or nothing (null)."""
+    return F.when(failure == PARSE_FAILURE, FORMAT_REPAIR).when((failure == ILLEGAL_MOVE) | (legal & (regret >= least)), MOVE_CORRECTION)
+
+
+def skip_reason(failure: Column, legal: Column, regret: Column, least: float = LEAST_REGRET) -> Column:
+    """Why a judgment isn't refreshed."""
     return (
-        F.when(failure == "parse_failure", "format_repair").when(~legal, "legality_correction")
-        .when(legal & (regret >= least), "move_correction")
+        F.when(failure.isin(MISSING_FEN, INVALID_FEN, LEGAL_UNSCORED), failure)
+        .when(legal & regret.isNull(), "unscored_legal").when(legal & (regret < least), "low_regret").otherwise("unsupported_judgment")
     )
 
 

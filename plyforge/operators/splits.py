@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash_order
+from ..functions.keys import hash_order, radix
 from ..store import stash
 from .ranking import with_rank, with_running_sum
 
@@ -48,26 +48,35 @@ def split_by_key(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return df.withColumn("side", F.when(first < share, "eval").otherwise("train"))
 
 
-def greedy_keys(counts: DataFrame, key: str, task: str, n: str, share: float, seed: int) -> DataFrame:
-    """(key, task) of the eval keys, chosen task by task from the smallest on: in hash
-    order until the task's share of rows is reached; the key that would pass it is
-    taken if it overshoots by no more than leaving it out falls short. Keys chosen for
-    an earlier task count for later ones. Tasks are few; keys may be any number."""
+def greedy_keys(counts: DataFrame, key: str, task: str, n: str, share: float, seed: int, existing: DataFrame | None = None) -> DataFrame:
+    """(key, task) of the eval keys, chosen task by task in order of their names: keys
+    with few rows first, equal ones in hash order, as long as taking one more overshoots
+    the task's share of rows (one at least) by no more than it would fall short. As
+    keys come in rising size, that is the start of the order. Keys of ``existing`` and
+    keys chosen for an earlier task count for a task but aren't chosen again; a task
+    that would have none gets its smallest key if it has two. Tasks are few; keys may
+    be any number. Runs jobs for each task while the plan is built."""
     spark = counts.sparkSession
-    rows = counts.select(F.col(key).cast("string").alias("key"), F.col(task).alias("task"), F.col(n).cast("long").alias("n")).filter("key is not null")
-    totals = rows.groupBy("task").agg(F.sum("n").alias("total")).collect()
+    rows = counts.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(task).cast("string"), F.lit("")).alias("task"), F.col(n).cast("long").alias("n")).filter("key is not null")
+    rows = rows.groupBy("key", "task").agg(F.sum("n").alias("n"))
     chosen = spark.createDataFrame([], "key string, task string")
-    for t in sorted(totals, key=lambda r: (r["total"], str(r["task"]))):
-        own = rows.filter(F.col("task").eqNullSafe(F.lit(t["task"])))
-        taken = own.join(chosen.select("key"), "key", "left_semi").agg(F.sum("n")).first()[0] or 0
-        goal = t["total"] * share - taken
-        if goal <= 0:
-            continue
-        rest = own.join(chosen.select("key"), "key", "left_anti")
-        summed = with_running_sum(rest, hash_order(seed, "key"), "n", "upto")
-        before = F.col("upto") - F.col("n")
-        fits = (before < goal) & (F.col("upto") - goal <= goal - before)
-        chosen = stash(chosen.unionByName(summed.filter(fits).select("key", F.col("task").cast("string").alias("task"))), "keys")
+    if share <= 0:
+        return chosen
+    known = (existing.select(F.col("key").cast("string").alias("key")) if existing is not None else chosen.select("key")).distinct()
+    for t in sorted(rows.groupBy("task").agg(F.sum("n").alias("total")).collect(), key=lambda r: r["task"]):
+        own = rows.filter(F.col("task") == t["task"])
+        held = known.union(chosen.select("key")).distinct()
+        before = own.join(held, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
+        goal = max(1, int(t["total"] * share))
+        rest = stash(own.join(held, "key", "left_anti").withColumn("order", F.concat(F.lpad(F.col("n").cast("string"), 20, "0"), hash_order(seed, "key"))), "groups")
+        # sizes first, and within a size the hash's first digits: buckets rise with the order
+        bucket = F.col("n") * 4096 + radix(F.substring("order", 21, 64))
+        summed = with_running_sum(rest, F.col("order"), "n", "upto", bucket).withColumn("taken", F.col("upto") - F.col("n") + before)
+        fits = (F.col("taken") < goal) & (2 * F.col("taken") + F.col("n") <= 2 * goal)
+        more = stash(summed.filter(fits).select("key", "task"), "more")
+        if not before and more.isEmpty() and len(rest.limit(2).collect()) == 2:
+            more = rest.orderBy("order").limit(1).select("key", "task")
+        chosen = stash(chosen.unionByName(more), "keys")
     return chosen
 
 

@@ -185,12 +185,11 @@ def insert_or_replace(spark, sf):
     return dedup.keep_last(_orders(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query("""select task || ':' || substr(sha256(concat_ws('|', task, doc_id::varchar, coalesce(lang, ''), coalesce(source, ''))), 1, 24) as example_id, doc_id
-from (select 'quality.' || lang as task, * from documents)""")
+@query("""select task || ':' || substr(sha256('{"fen":' || to_json(doc_id::varchar) || ',"fields":{' || concat_ws(',', case when lang <> '' then '"lang":' || to_json(lang) end, case when source <> '' then '"source":' || to_json(source) end)
+  || '},"task":' || to_json(task) || '}'), 1, 24) as example_id, doc_id from (select 'quality.' || lang as task, * from documents)""")
 def example_identity(spark, sf):
-    docs = table(spark, sf, "documents")
     task = F.concat(F.lit("quality."), F.col("lang"))
-    return docs.select(K.example_identity(task, F.col("doc_id"), F.col("lang"), F.col("source")).alias("example_id"), "doc_id")
+    return table(spark, sf, "documents").select(K.example_identity(task, F.col("doc_id").cast("string"), F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))).alias("example_id"), "doc_id")
 
 
 @query("""select source, count(*) as n, bit_xor(('0x' || substr(sha256(doc_id::varchar || '|' || text), 1, 15))::bigint) as fingerprint from documents group by source""")
@@ -314,12 +313,6 @@ def split_by_key_no_leak(spark, sf):
     return splits.split_by_key(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", 0.1, SEED)
 
 
-@query()
-def greedy_eval_keys(spark, sf):
-    counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return splits.greedy_keys(counts, "user_id", "event_type", "n", 0.1, SEED)
-
-
 @query("""select doc_id, n_chars, label from (
   select doc_id, n_chars, unnest([case when n_chars < 500 then 'short' end, case when n_chars >= 500 and n_chars < 3000 then 'medium' end,
     case when n_chars >= 2000 then 'long' end, case when lang = 'en' then 'english' end]) as label from documents) where label is not null""")
@@ -331,13 +324,13 @@ def multi_label_partition(spark, sf):
 
 @query("""
 with r as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as i from documents)
-select doc_id, source || '_' || lpad(i::varchar, 6, '0') as example_id, ['planning', 'rules', 'tactics'][(i % 3)::int + 1] as task from r""")
+select doc_id, source || '_' || printf('%06d', i) as example_id, ['planning', 'rules', 'tactics'][(i % 3)::int + 1] as task from r""")
 def round_robin_ids(spark, sf):
     """Dense ids and tasks in turn per source, ranked in ranges of doc_id."""
     docs = table(spark, sf, "documents").select("doc_id", "source")
     ranked = ranking.with_rank(docs, ["source"], F.col("doc_id"), "i", ranking.number_bucket("doc_id", 4096)).withColumn("i", F.col("i") - 1)
     task = F.element_at(F.array(F.lit("planning"), F.lit("rules"), F.lit("tactics")), (F.pmod("i", F.lit(3)) + 1).cast("int"))
-    return ranked.select("doc_id", F.concat_ws("_", "source", F.lpad(F.col("i").cast("string"), 6, "0")).alias("example_id"), task.alias("task"))
+    return ranked.select("doc_id", F.concat_ws("_", "source", F.format_string("%06d", "i")).alias("example_id"), task.alias("task"))
 
 
 # --- joins --------------------------------------------------------------------
@@ -470,29 +463,15 @@ def set_prf(spark, sf):
     return scores.select("conv_id", "turn", F.round("s.precision", 6).alias("precision_"), F.round("s.recall", 6).alias("recall_"), F.round("s.f1", 6).alias("f1"))
 
 
-def _samples(spark, sf):
-    """Each user's first event types in time order, eight at most, from a bounded
-    collection: only the eight earliest events of a user are gathered."""
-    events = table(spark, sf, "events").select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
-    w = Window.partitionBy("user_id").orderBy("e")
-    first = events.withColumn("r", F.row_number().over(w)).filter("r <= 8")
-    return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["event_type"]).alias("samples"))
-
-
-_SAMPLES_SQL = "with s as (select user_id, list(event_type order by ts, event_id)[1:8] as s from events group by user_id) "
-
-
-@query(_SAMPLES_SQL + "select user_id, list_contains(s[1:1], 'purchase')::double as pass_1, list_contains(s[1:8], 'purchase')::double as pass_8 from s")
-def pass_at_k(spark, sf):
-    gold = F.lit("purchase")
-    return _samples(spark, sf).select("user_id", X.pass_at_k(F.col("samples"), gold, 1).alias("pass_1"), X.pass_at_k(F.col("samples"), gold, 8).alias("pass_8"))
-
-
-@query(_SAMPLES_SQL + """, f as (select user_id, list_filter(s, lambda x: list_contains(['purchase', 'error', 'click'], x))[1] as x from s)
+@query("""with f as (select user_id, arg_min(event_type, struct_pack(ts, event_id)) filter (event_type in ('purchase', 'error', 'click')) as x from events group by user_id)
 select user_id, case when x is null then 0 else round(1.0 / list_position(['purchase', 'error', 'click'], x), 6) end::double as reciprocal_rank from f""")
 def reciprocal_rank(spark, sf):
+    """Over all of a user's events: the first that a ranked list has."""
     gold = F.array(F.lit("purchase"), F.lit("error"), F.lit("click"))
-    return _samples(spark, sf).select("user_id", F.round(X.reciprocal_rank(F.col("samples"), gold), 6).alias("reciprocal_rank"))
+    events = table(spark, sf, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    first = F.min_by(F.when(F.array_contains(gold, F.col("event_type")), F.col("event_type")), F.when(F.array_contains(gold, F.col("event_type")), F.col("at")))
+    rows = events.groupBy("user_id").agg(first.alias("x"))
+    return rows.select("user_id", F.round(X.reciprocal_rank(F.array("x"), gold), 6).alias("reciprocal_rank"))
 
 
 @query("""
@@ -503,39 +482,6 @@ def exact_match_norm(spark, sf):
     return keyed.groupBy("text_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("n > 1")
 
 
-_FAMILY_SQL = """case when text is null or trim(text) = '' then 'empty' when regexp_matches(text, '(?is)<think>.*</think>\\s*<move>') then 'think_move'
-  when regexp_matches(text, '(?i)<move>') then 'move_tag' when starts_with(trim(text), '{') then 'json'
-  when regexp_matches(trim(text), '^[a-h][1-8][a-h][1-8][qrbn]?$') then 'bare_uci' when regexp_matches(trim(text), '(?i)^(yes|no)\\b') then 'yes_no'
-  when regexp_matches(trim(text), '^[0-9]') then 'numeric' when len(regexp_split_to_array(trim(text), '\\s+')) <= 12 then 'short_text' else 'prose' end"""
-
-
-@query(f"select role, {_FAMILY_SQL} as family, count(*) as n from conversations group by all")
-def format_family(spark, sf):
-    rows = table(spark, sf, "conversations").select("role", X.format_family(F.col("text")).alias("family"))
-    return rows.groupBy("role", "family").agg(F.count("*").alias("n"))
-
-
-@query(f"""
-with r as (select d.source, d.lang, substr(d.text, 1, 8) as prefix, {_FAMILY_SQL.replace('text', 'd.text')} as family, l.quality from documents d left join labels l using (doc_id))
-select source, lang, count(*) as n, count(distinct prefix) as prefixes, count(distinct family) as families, count(quality) as labelled,
-  round(avg(quality), 6) as quality, count(*) filter (quality = 0) as failures from r group by grouping sets ((source), (lang), ())""")
-def analysis_report(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    rows = docs.select("source", "lang", F.substring("text", 1, 8).alias("prefix"), X.format_family(F.col("text")).alias("family"), "quality")
-    return rows.groupingSets([[F.col("source")], [F.col("lang")], []], F.col("source"), F.col("lang")).agg(
-        F.count("*").alias("n"), F.countDistinct("prefix").alias("prefixes"), F.countDistinct("family").alias("families"), F.count("quality").alias("labelled"),
-        F.round(F.avg("quality"), 6).alias("quality"), F.count_if(F.col("quality") == 0).alias("failures"),
-    )
-
-
-@query("""select lang, prefix, n from (select *, row_number() over (partition by lang order by n desc, prefix) as r
-  from (select lang, substr(text, 1, 4) as prefix, count(*) as n from documents group by all)) where r <= 10""")
-def top_prefixes(spark, sf):
-    counts = table(spark, sf, "documents").groupBy("lang", F.substring("text", 1, 4).alias("prefix")).agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "prefix"))
-    return counts.withColumn("r", r).filter("r <= 10").drop("r")
-
-
 @query("select case when p_size < 10 then '<10' when p_size < 20 then '10-19' when p_size < 30 then '20-29' else '30+' end as bucket, count(*) as n, round(avg(p_retailprice), 4) as mean_price from part group by all")
 def rating_buckets(spark, sf):
     size = F.col("p_size")
@@ -566,14 +512,15 @@ with e as (select *, row_number() over (partition by user_id order by ts, event_
 
 
 @query(_HISTORY_SQL + """
-select event_id, user_id, ply::bigint as ply, coalesce(array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding), ' '), '') as history,
+select event_id, user_id, ply::bigint as ply, coalesce(array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), ' '), '') as history,
   case when ply <= 30 then 'opening' when ply <= 70 then 'middlegame' else 'endgame' end as phase from e""")
 def move_history(spark, sf):
-    """The last three events before each, its place in the user's sequence, its phase."""
+    """All events before each, its place in the user's sequence, its phase. The output
+    is quadratic in a user's events, as a history before each of them has to be."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     ply = (F.row_number().over(w) - 1).cast("long")
-    history = F.array_join(F.collect_list("event_type").over(w.rowsBetween(-3, -1)), " ")
+    history = F.array_join(F.collect_list("event_type").over(w.rowsBetween(Window.unboundedPreceding, -1)), " ")
     return events.select("event_id", "user_id", ply.alias("ply"), history.alias("history")).withColumn("phase", B.game_phase(F.col("ply")))
 
 
@@ -611,13 +558,16 @@ def normalized_weight_merge(spark, sf):
     return share.join(whole, "l_partkey").groupBy("l_suppkey").agg(F.round(F.sum(F.col("w") / F.col("a")), 6).alias("weight"), F.count("*").alias("parts"))
 
 
-@query(_HISTORY_SQL + """, p as (select user_id, ply, event_type, array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between 4 preceding and 1 preceding), ' ') as before from e)
-select ply::bigint as prefix_length, coalesce(before, '') as prefix, event_type as next, count(*) as n from p where ply <= 4 group by all""")
+@query(_HISTORY_SQL + """, p as (select user_id, ply, event_type, array_to_string(list(event_type) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), ' ') as before from e)
+select ply::bigint as prefix_length, md5(coalesce(before, '')) as prefix, event_type as next, count(*) as n from p group by all""")
 def prefix_counts(spark, sf):
+    """How often each event follows each prefix of a sequence, however long: prefixes
+    are grouped by their length and digest."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    rows = events.select((F.row_number().over(w) - 1).cast("long").alias("prefix_length"), F.array_join(F.collect_list("event_type").over(w.rowsBetween(-4, -1)), " ").alias("prefix"), F.col("event_type").alias("next"))
-    return rows.filter("prefix_length <= 4").groupBy("prefix_length", "prefix", "next").agg(F.count("*").alias("n"))
+    before = F.array_join(F.collect_list("event_type").over(w.rowsBetween(Window.unboundedPreceding, -1)), " ")
+    rows = events.select((F.row_number().over(w) - 1).cast("long").alias("prefix_length"), F.md5(before).alias("prefix"), F.col("event_type").alias("next"))
+    return rows.groupBy("prefix_length", "prefix", "next").agg(F.count("*").alias("n"))
 
 
 # --- chat rows ----------------------------------------------------------------
@@ -693,10 +643,11 @@ def rank_codec(spark, sf):
 def chess_rules(spark, sf):
     """The kernel's columns over the positions: key, legal moves, state, structure."""
     from ..functions import chess_udfs as U
+    from ..functions import protocol as P
 
     fen = F.col("fen")
     return _positions(spark).select(
-        "fen", U.canonical_key(fen).alias("pos_key"), U.legal_moves(fen).alias("legal_moves"), U.check_state(fen).alias("state"),
+        "fen", P.canonical_key(fen).alias("pos_key"), U.legal_moves(fen).alias("legal_moves"), U.check_state(fen).alias("state"),
         U.hanging_pieces(fen).alias("hanging"), U.exchange_values(fen).alias("exchanges"), U.pawn_structure(fen, F.lit("w")).alias("white_pawns"),
     )
 
@@ -715,5 +666,4 @@ def task_rows(spark, sf):
     from ..functions.answers import TASKS
     from ..operators import generators
 
-    blocked = _positions(spark).limit(1).select(K.position_fields(F.col("fen")).alias("pos_key"))
-    return generators.task_rows(_positions(spark), sorted(TASKS), blocked)
+    return generators.task_rows(_positions(spark), sorted(TASKS), _positions(spark).limit(1))

@@ -1,5 +1,7 @@
+import hashlib
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -63,7 +65,9 @@ def test_keep_best_ties_keep_the_earlier(spark):
 def test_answers(spark):
     rows = [
         ("<think>x</think> <move>E2E4</move>", "e2e4", "move_tag", None), ('{"move_uci": "g1f3"}', "g1f3", "json", None), (" e7e8q ", "e7e8q", "bare_uci", None),
-        ("I play e2e4 now", "e2e4", "prose", None), ("e2e4 or d2d4", None, "unparsed", "ambiguous_move"), ("nothing", None, "unparsed", "no_move"),
+        ("I play e2e4 now", "e2e4", "prose_uci", None), ("e2e4 or d2d4", None, "none", "ambiguous UCI moves in prose"), ("nothing", None, "none", "no UCI move found"),
+        ("<move>e2e4</move><move>d2d4</move>", None, "none", "ambiguous move tags"), ('{"move_uci": "e2e9"}', None, "none", "no UCI move found"), ('{"move_uci": 5}', None, "none", "no UCI move found"),
+        ("b2b4/8/8/8/7k/8/8/K7 w - - 0 1", None, "none", "no UCI move found"),
     ]
     got = spark.createDataFrame([(r[0],) for r in rows], "t string").select(X.parse_answer(F.col("t")).alias("a")).select("a.*").collect()
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
@@ -78,9 +82,18 @@ def test_set_metrics(spark):
     assert [r["rr"] for r in got] == [1.0, 0.0, 0.0, 0.5] and [r["pr"] for r in got] == [0.5, 1.0, 0.0, 0.0]
 
 
-def test_castle_less_positions_block_both_variants(spark):
-    df = spark.createDataFrame([("std:8/8/8/8/8/8/8/K1k5 w - -",), ("std:x w KQ -",)], "k string")
-    assert [sorted(r["b"]) for r in df.select(K.blocked_keys(F.col("k")).alias("b")).collect()] == [["960:8/8/8/8/8/8/8/K1k5 w - -", "std:8/8/8/8/8/8/8/K1k5 w - -"], ["std:x w KQ -"]]
+def test_strict_and_loose_moves(spark):
+    texts = ["<think>x</think><move>a7a8q</move>", "<move> E2E4 </move>", "<MOVE>e2e4</MOVE>", "I prefer e2e4 over d2d4.", "no move", "<think>Center.</think>\n<move>e2e4</move>", "<|im_start|>assistant: e2e4<|im_end|>", "assistant:e2e4"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.strict_move(F.col("t")).alias("s"), X.first_move(F.col("t")).alias("f"), X.valid_think_move(F.col("t")).alias("v"), X.extract_move(F.col("t")).alias("e")).collect()
+    assert [r["s"] for r in got] == ["a7a8q", None, None, None, None, "e2e4", None, None] and [r["v"] for r in got] == [True, False, False, False, False, True, False, False]
+    assert [r["f"] for r in got] == ["a7a8q", "e2e4", "e2e4", "e2e4", None, "e2e4", "e2e4", "e2e4"] and [r["e"] for r in got][-2:] == ["e2e4", "e2e4"]
+
+
+def test_identities_tell_examples_apart(spark):
+    rows = spark.createDataFrame([("t", "k", {"a": "x|y", "b": "z"}), ("t", "k", {"a": "x", "b": "y|z"}), ("t", "k", {"b": "z", "a": "x|y", "c": ""}), ("t", "k", {})], "t string, k string, f map<string,string>")
+    got = [r["i"] for r in rows.select(K.example_identity(F.col("t"), F.col("k"), F.col("f")).alias("i")).collect()]
+    assert got[0] == got[2] and len(set(got)) == 3
+    assert got[3] == "t:" + hashlib.sha256(b'{"fen":"k","fields":{},"task":"t"}').hexdigest()[:24]
 
 
 def test_keys_stay_on_one_side(spark):
@@ -89,12 +102,34 @@ def test_keys_stay_on_one_side(spark):
     assert got.filter("n > 1").count() == 0
 
 
-def test_greedy_keys_reach_the_share(spark):
-    counts = spark.range(2000).select((F.col("id") % 500).alias("k"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("t"), F.lit(5).cast("long").alias("n"))
-    counts = counts.groupBy("k", "t").agg(F.sum("n").alias("n"))
-    keys = splits.greedy_keys(counts, "k", "t", "n", 0.2, 3)
-    share = counts.join(keys.select(F.col("key").alias("k")).distinct(), "k", "left_semi").agg(F.sum("n")).first()[0] / counts.agg(F.sum("n")).first()[0]
-    assert 0.12 < share < 0.28
+def greedy(counts, share, existing=()):
+    """The rule row by row; sizes are all different, so the order is plain."""
+    chosen, out = set(existing), set()
+    for task in sorted({t for _, t, _ in counts}):
+        own = sorted((n, k) for k, t, n in counts if t == task)
+        goal, have = max(1, int(sum(n for n, _ in own) * share)), sum(n for n, k in own if k in chosen)
+        rest, first = [x for x in own if x[1] not in chosen], have
+        for n, k in rest:
+            if have < goal and have + n - goal <= goal - have:
+                have += n
+                chosen.add(k)
+                out.add((k, task))
+        if not have and len(rest) >= 2 and not first:
+            chosen.add(rest[0][1])
+            out.add((rest[0][1], task))
+    return out
+
+
+def test_greedy_keys_follow_the_rule(spark):
+    rng = random.Random(2)
+    counts = [(f"k{i}", t, 1 + i * 3 + j) for i in range(60) for j, t in enumerate("cab") if rng.random() < 0.6]
+    counts += [("x1", "z", 50), ("x2", "z", 60), ("y", "one", 9)]
+    frame = spark.createDataFrame(counts, "k string, t string, n long")
+    for share in (0.0, 0.02, 0.2):
+        got = {(r["key"], r["task"]) for r in splits.greedy_keys(frame, "k", "t", "n", share, 3).collect()}
+        assert got == (greedy(counts, share) if share else set())
+    held = spark.createDataFrame([("k5",), ("x2",)], "key string")
+    assert {(r["key"], r["task"]) for r in splits.greedy_keys(frame, "k", "t", "n", 0.1, 3, held).collect()} == greedy(counts, 0.1, ("k5", "x2"))
 
 
 def test_repeated_keys_raise(spark):
