@@ -17,7 +17,7 @@ def ship(spark: SparkSession | None = None) -> None:
     zip is staged on the driver, whose file server hands it to every executor."""
     spark = spark or SparkSession.getActiveSession()
     if spark.conf.get(BATCH_BYTES, None) is None:
-        spark.conf.set(BATCH_BYTES, str(16 << 20))
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     context = spark.sparkContext
     if getattr(context, "_plyforge_shipped", False):
         return

@@ -7,7 +7,6 @@ which then chooses between broadcast and shuffle joins by a measured figure.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -28,31 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared file system; a stopped session leaves it."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """Removes a folder of the shared file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session has ended: nothing can be deleted through it any more
-        pass
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the process ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
+    """A new path in a folder of its own below the shared folder. The file system
+    removes that folder when the driver's JVM ends, whether the session was stopped
+    before or not."""
+    folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return f"{folder}/data"
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and returns it as read from there. The
-    files go with unstash(), or when the process ends."""
+    files go with unstash(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
@@ -61,9 +55,8 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 def unstash(df: DataFrame) -> None:
     """Deletes the files of a stashed frame that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _drop(spark, folder)
+    for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
 
 
 __all__ = ["delete", "fresh_path", "shared_dir", "stash", "unstash"]
