@@ -19,6 +19,7 @@ word[blocks]; uint64 words. All blocks but the last hold 4096 ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -212,10 +213,31 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, bool, np.ndarray]]:
 #: Texts of these characters only: no letter composes, and case folds one by one.
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xff]*")
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: How word_bpe_49k.json splits lower-cased plain texts; what lies between is dropped.
+# What a vocabulary file says whose words the encoder may merge one by one.
+_WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+# Fixed values end.
+#: How such a file splits lower-cased plain texts; what lies between is dropped.
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+")
 
 
+def splits_words(path: str) -> bool:
+    """Whether a vocabulary file cuts texts as _SPLIT does and merges within words: by
+    what it says, whatever it is called. Its added tokens must begin with "<|"."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda part, name: (part or {}).get(name)
+    model = spec.get("model") or {}
+    return (
+        steps(spec.get("normalizer"), "normalizers") == _WORD_NORMALIZER and steps(spec.get("pre_tokenizer"), "pretokenizers") == _WORD_SPLITTER
+        and spec.get("post_processor") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+    )
+
+
 def _byte_marks() -> dict[int, str]:
     """The printable character by which byte-level vocabularies write each byte:
     printable ones stand for themselves, the others follow from 256 on."""
@@ -257,7 +279,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = os.path.basename(path) == "word_bpe_49k.json"
+        self.split = splits_words(path)
         self.words = _Known(self.tokenizer.model, most)
 
     def encode(self, text: str | None) -> np.ndarray:

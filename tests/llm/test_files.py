@@ -120,6 +120,25 @@ def test_a_full_word_table_starts_anew():
     assert small.encode(text).tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_the_way_of_encoding_follows_from_the_file_s_content(tmp_path):
+    import json
+    import shutil
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    renamed = tmp_path / "other.json"
+    shutil.copy(path, renamed)
+    assert T.splits_words(path) and T.splits_words(str(renamed))
+    spec = json.loads(renamed.read_text())
+    spec["normalizer"]["normalizers"].pop()  # no lower case
+    (tmp_path / "word_bpe_49k.json").write_text(json.dumps(spec))
+    cased = T.WordEncoder(str(tmp_path / "word_bpe_49k.json"))
+    assert not cased.split
+    for text in ("Hello World", "It's A TEST"):
+        assert cased.encode(text).tolist() == cased.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark):
     import zlib
 
