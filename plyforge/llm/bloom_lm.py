@@ -288,7 +288,9 @@ def score_texts(
 
     rows = docs.withColumn("levels", F.lit(None).cast("binary"))
     for own in shards[:-1]:
-        rows = stash(rows.mapInArrow(_pass(send(own)), "doc_id long, text string, levels binary"), "levels")
+        sent = send(own)
+        rows = stash(rows.mapInArrow(_pass(sent), "doc_id long, text string, levels binary"), "levels")
+        sent.destroy()  # the levels are written: nothing reads this shard again
     marked = stash(rows.mapInArrow(_last(send(shards[-1]), table, base, prior), _MARKED), "scored")
 
     known = marked.filter("h is null").drop("h", "n")
@@ -366,6 +368,8 @@ def _last(sent, table, base: int, prior: float):
             hashes, places, sizes, word, past, pair = _probe(shard, texts, levels)
             starts = np.cumsum(sizes) - sizes
             unigram = (count_of(word) + 1) / base
+            # a false hit of the pair alone may not pass its history: p stays below 1
+            pair = np.minimum(pair, past)
             logs = np.log10((count_of(pair) + prior * unigram) / (count_of(past) + prior))
             score = np.add.reduceat(logs, starts)
             at = np.searchsorted(seen_h, hashes)
