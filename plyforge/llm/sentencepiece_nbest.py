@@ -31,13 +31,16 @@ _NONE, _NEVER, _ABSENT = float("inf"), float("-inf"), ((), 0.0)
 #: How much below the worst piece a character scores that only bytes can spell.
 UNKNOWN = 10.0
 
+#: Units of more characters are searched each time: what is kept is bounded in bytes.
+LONGEST = 64
+
 Path = tuple[float, tuple[int, ...]]
 
 
 class Vocabulary:
     """Pieces, scores and byte pieces of a .model file, with the searches."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skip: set[int], most: int = 800_000):
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skip: set[int], most: int = 450_000):
         # blanks are kept as such inside: most texts then need one byte a character
         pieces = [(p.replace(BLANK, " "), s) for p, s in pieces]
         self.raw = [p.encode("utf-8", "surrogatepass") for p, _ in pieces]
@@ -201,15 +204,12 @@ class Vocabulary:
         texts have the one empty segmentation."""
         units = self.units(text)
         pairs = self.pairs
+        if len(pairs) >= self.most:
+            pairs.clear()
         for unit in set(units).difference(pairs):
-            if len(pairs) >= self.most:
-                pairs.clear()
-                return self.encode(text, n) if len(set(units)) < self.most else self._encode_large(units, n)
-            pairs[unit] = self._pair(unit)
-        return self._join(units, [pairs[u] for u in units], n)
-
-    def _encode_large(self, units: list[str], n: int) -> list[Path]:
-        return self._join(units, [self._pair(u) for u in units], n)
+            if len(unit) <= LONGEST and len(pairs) < self.most:
+                pairs[unit] = self._pair(unit)
+        return self._join(units, [pairs.get(u) or self._pair(u) for u in units], n)
 
     def _join(self, units: list[str], found: list[tuple], n: int) -> list[Path]:
         if not found:
@@ -270,7 +270,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def segment(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     """(doc_id, text, best): the n best segmentations of each row's whole text as
-    array<struct<score, ids>>. One row per row; null texts count as empty."""
+    array<struct<score, ids>>. One row per row, repeats included; null texts count as
+    empty; an empty table gives no rows."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -289,7 +290,10 @@ def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     its ids as little-endian 32-bit numbers and its score; how many segmentations
     there are (n at most), the CRC of all their ids and the score of the last; and
     whether each of them decodes to the text with blank marks read as blanks. Null
-    texts count as empty: no piece, score 0, one segmentation."""
+    texts count as empty: no piece, score 0, one segmentation. Rows are taken one by
+    one, whole, however long: repeated rows and null ids give rows of their own, an
+    empty table gives none. Of segmentations with equal scores the search's order
+    decides, the same for equal texts."""
     ship(docs.sparkSession)
 
     def one(vocab: Vocabulary, text: str | None) -> tuple:

@@ -80,3 +80,15 @@ def test_best_path_of_the_library_model_is_no_worse_than_its_own():
     for text in ("hello world", "the quick brown fox", "números y señales"):
         own = sum(sp.get_score(i) for i in sp.encode(text))
         assert vocab.encode(text)[0][0] >= own
+
+
+def test_long_units_and_a_full_memo(spark):
+    vocab = P.vocabulary(P.model_path())
+    small = P.Vocabulary.load(P.model_path())
+    small.most = 5
+    for text in ("one two three four five six seven", "x" * 500 + " y" * 50, "one two"):
+        assert small.encode(text, 3) == vocab.encode(text, 3)
+    assert len(small.pairs) <= 5 and all(len(u) <= P.LONGEST for u in vocab.pairs)
+    assert P.digest(docs(spark, []), P.model_path()).count() == 0
+    twice = P.digest(docs(spark, [(1, "same text"), (1, "same text")]), P.model_path()).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
