@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mcnemar_p
+from .reports import nearest_ranks
 
 
 def score_split(examples: DataFrame, scores: DataFrame, key: str, split: str, task: str, primary: str, secondary: str) -> DataFrame:
@@ -27,10 +28,8 @@ def score_split(examples: DataFrame, scores: DataFrame, key: str, split: str, ta
 
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    cut = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast("double")
-    return df.groupBy(*groups).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), cut(0.5).alias("p50"), cut(0.9).alias("p90"), cut(0.95).alias("p95")
-    )
+    """(groups, n, mean, p50, p90, p95) of each group's values."""
+    return nearest_ranks(df, groups, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95}).withColumn("mean", F.round("mean", 6))
 
 
 def paired_summary(df: DataFrame, groups: list[str], base: Column, cand: Column) -> DataFrame:
