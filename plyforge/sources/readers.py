@@ -24,8 +24,14 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def is_json(df: DataFrame) -> Column:
+    """Whether a line was JSON. Another column is looked at too, as Spark refuses to
+    read the column of corrupt lines alone, which a plain count would come to."""
+    return F.col(CORRUPT).isNull() & (F.coalesce(F.length(F.col(df.columns[0]).cast("string")), F.lit(0)) >= 0)
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    return df.filter(is_json(df)).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def first_present(df: DataFrame, *names: str) -> Column:

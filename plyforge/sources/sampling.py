@@ -17,7 +17,7 @@ from ..functions.text import UCI, found
 from ..operators.benchmark import choose_weighted
 from ..ship import ship
 from ..store import stash
-from .readers import CORRUPT, read_jsonl
+from .readers import CORRUPT, is_json, read_jsonl
 
 # The usual start among Chess960's, shares and bounds of source counts,
 # fields of self-play rows, endings of tablebase files.
@@ -181,7 +181,8 @@ def self_play_positions(spark: SparkSession, root: str) -> DataFrame:
     found_ = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
     if found_ is None or not len(found_):
         return spark.createDataFrame([], schema)
-    rows = read_jsonl(spark, f"{root.rstrip('/')}/*/positions.jsonl", schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = read_jsonl(spark, f"{root.rstrip('/')}/*/positions.jsonl", schema)
+    rows = rows.filter(is_json(rows)).drop(CORRUPT)
     return rows.dropna(subset=[c for c in SELF_PLAY])
 
 
