@@ -35,9 +35,10 @@ def upsert_best(cache: DataFrame, scan: DataFrame, keys: list[str], order: list)
     return keep_best(cache.unionByName(scan), keys, order)
 
 
-def merge_tags(df: DataFrame, keys: list[str], ordinal: str, first: list[str], any_of: list[str] = ()) -> DataFrame:
+def merge_tags(df: DataFrame, keys: list[str], ordinal: str, first: list[str], any_of: list[str] = (), count: str | None = None) -> DataFrame:
     """One row per key: the first row's ordinal, for each of ``first`` the first
-    non-null value, and whether any of the flags is set."""
+    non-null value, whether any of the flags is set and, under the name ``count``, how
+    many rows there were."""
     tags = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ordinal))).alias(c) for c in first]
     flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in any_of]
-    return df.groupBy(*keys).agg(F.min(ordinal).alias(ordinal), *tags, *flags)
+    return df.groupBy(*keys).agg(F.min(ordinal).alias(ordinal), *tags, *flags, *([F.count("*").alias(count)] if count else []))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df; raises when it is run if a key occurs twice."""
+    """df; raises if a key occurs twice. Looks at once, by a job of its own."""
     twice = df.groupBy(*keys).count().filter("count > 1").limit(1)
     if not twice.isEmpty():
         raise ValueError(f"repeated key {twice.first().asDict()}")

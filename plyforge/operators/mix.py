@@ -44,7 +44,8 @@ def upsample(df: DataFrame, factor: Column) -> DataFrame:
 def cyclic_draw(pool: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """(draw, epoch, pool columns): ``draws`` rows in a new hash order each time the
     pool runs out. Each row is copied once per epoch and keeps its place in it; the
-    order of an epoch comes from its own hash."""
+    order of an epoch comes from its own hash. Counts the pool by a job while the plan
+    is built."""
     n = pool.count()
     if not n or draws <= 0:
         return pool.select(F.lit(0).cast("long").alias("draw"), F.lit(0).alias("epoch"), "*").limit(0)

@@ -19,7 +19,8 @@ def stratified_sample(df: DataFrame, split: str, key: str, text: str, n: int, se
 
 
 def quota_fill(df: DataFrame, bucket: str, key: str, quotas: dict[str, int], target: int, seed: int) -> DataFrame:
-    """target rows: from each bucket its quota, then the best-placed left over."""
+    """target rows: from each bucket its quota, then the best-placed left over. Counts
+    those within the quotas by a job while the plan is built."""
     order = hash_order(seed, key)
     ranked = with_rank(df, [bucket], order, "_rank")
     quota = F.lit(0)
@@ -34,7 +35,8 @@ def quota_fill(df: DataFrame, bucket: str, key: str, quotas: dict[str, int], tar
 
 def group_holdout(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """df with ``side``: whole groups go to eval, max(1, int(n * share)) of them;
-    rows without a group stay in train."""
+    rows without a group stay in train. Counts the groups by a job while the plan is
+    built."""
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
     n = groups.count()
     take = min(n, max(1, int(n * share))) if n else 0

@@ -137,8 +137,7 @@ from k group by k""")
 def pool_dedup_merge(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(X.normalize(F.col("text")), 256).alias("pos_key"), "lang", "source")
     docs = docs.withColumn("is_english", F.col("lang") == "en")
-    merged = dedup.merge_tags(docs, ["pos_key"], "doc_id", ["source", "lang"], ["is_english"])
-    return merged.join(docs.groupBy("pos_key").agg(F.count("*").alias("n")), "pos_key")
+    return dedup.merge_tags(docs, ["pos_key"], "doc_id", ["source", "lang"], ["is_english"], "n")
 
 
 _BEST_SQL = """

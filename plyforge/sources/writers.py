@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..store import stash
+
 
 def write_validated(df: DataFrame, errors: str, path: str, rejected_path: str | None = None) -> dict:
     """Writes rows without errors as JSON lines; returns the counts, observed in the
-    same pass. Rejected rows go to a folder of their own if one is named."""
+    same pass. Rejected rows go to a folder of their own if one is named; the rows are
+    then stored in between, so they are made once."""
     seen = Observation()
+    if rejected_path:
+        df = stash(df, "checked")
     bad = F.size(F.col(errors)) > 0
     df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejected")).filter(~bad).drop(errors).write.mode("overwrite").json(path)
     if rejected_path:

@@ -26,7 +26,7 @@ def extend_output(spark: SparkSession, table: str, rows: DataFrame, identity: st
     beside the one before it, which stays until it is complete; a run that finds the
     target reached writes nothing. Raises, and leaves the table as it is, if rows lack
     an identity or the target can't be reached."""
-    done = _versions(spark, table)
+    done = _versions(spark, table, "_SUCCESS")
     have = spark.read.schema(rows.schema).parquet(f"{table}/v{done[-1]}") if done else spark.createDataFrame([], rows.schema)
     n = have.count()
     if n >= target:
@@ -51,5 +51,5 @@ def extend_output(spark: SparkSession, table: str, rows: DataFrame, identity: st
 
 
 def read_output(spark: SparkSession, table: str, schema) -> DataFrame:
-    done = _versions(spark, table)
+    done = _versions(spark, table, "_SUCCESS")
     return spark.read.schema(schema).parquet(f"{table}/v{done[-1]}") if done else spark.createDataFrame([], schema)
