@@ -21,6 +21,7 @@ from .readers import first_present
 # Wording of move-choice rows; bounds of evaluation classes.
 MATE_INPUT = rf'(?is)FEN[^"]*"([^"]+)".*?MoveA[:\s]*({UCI}).*?MoveB[:\s]*({UCI})'
 MATE_OUTPUT = rf"(?is)Move([AB])[:\s]*({UCI})"
+PERSPECTIVE = "white"
 HIGH_CP, BALANCED_CP, FEW_PIECES, DEEP = 200, 100, 10, 30
 # Fixed values end.
 
@@ -83,11 +84,13 @@ def puzzles(raw: DataFrame, min_rating: int = 0, max_rating: int = 10_000, wante
 
 def evals(raw: DataFrame, ordinal: str, min_depth: int = 20, cached: DataFrame | None = None, seed: int = 42, cap: int | None = None) -> DataFrame:
     """The deepest evaluation of each position (then most nodes, then the earlier
-    row), of at least min_depth, beside what is cached; in seeded hash order if capped."""
-    columns = ["fen", "best_move", "pv_line", "depth", "knodes", "cp", "mate", ordinal]
-    line = first_present(raw, "pv_line", "line")
-    rows = raw.withColumn("pv_line", line).withColumn("best_move", F.split(F.trim(line), r"\s+")[0]).filter((F.col("depth") >= min_depth) & (F.trim("pv_line") != ""))
-    rows = rows.select(*columns)
+    row), of at least min_depth, beside what is cached; in seeded hash order if capped.
+    Lines are UCI or SAN and come out as UCI; a row whose line isn't legal to its end,
+    or whose FEN is none, is left out. Scores are white's: eval_perspective says so."""
+    columns = ["fen", "best_move", "pv_line", "depth", "knodes", "cp", "mate", "eval_perspective", ordinal]
+    deep = raw.withColumn("_line", F.filter(F.split(F.trim(first_present(raw, "line", "pv_line")), r"\s+"), lambda m: m != "")).filter((F.col("depth") >= min_depth) & (F.size("_line") > 0))
+    legal = deep.withColumn("_uci", U.replay_moves(F.col("fen"), F.col("_line"))).filter(F.size("_uci") == F.size("_line"))
+    rows = legal.withColumn("pv_line", F.array_join("_uci", " ")).withColumn("best_move", F.get("_uci", F.lit(0))).withColumn("eval_perspective", F.lit(PERSPECTIVE)).select(*columns)
     both = rows if cached is None else cached.select(*columns).unionByName(rows)
     best = keep_best(both, ["fen"], [F.col("depth"), F.col("knodes"), -F.col(ordinal)])
     return best if cap is None else best.withColumn("_o", K.hash_order(seed, "fen")).orderBy("_o").limit(cap).drop("_o")
@@ -129,7 +132,7 @@ def _after(moves: Column) -> Column:
 
 def book_moves(opened: DataFrame) -> DataFrame:
     """(fen, uci, weight): how often each move follows each position of the openings'
-    lines."""
+    lines; positions are whole FENs, as lines meet them."""
     ship(opened.sparkSession)
 
     def run(batches):
@@ -138,7 +141,7 @@ def book_moves(opened: DataFrame) -> DataFrame:
             for line in pdf["uci_moves"]:
                 p = chess.Position.parse(chess.START)
                 for uci in line:
-                    out.append((p.key(), uci))
+                    out.append((p.fen(), uci))
                     p = p.play(p.find(uci))
             yield pd.DataFrame(out, columns=["fen", "uci"])
 

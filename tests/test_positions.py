@@ -24,12 +24,14 @@ def test_puzzles(spark):
 
 
 def test_evals(spark):
-    rows = [("f1", "e2e4 e7e5", 30, 10, 20, None, 1), ("f1", "d2d4", 30, 10, 5, None, 2), ("f1", "a2a3", 25, 99, 5, None, 3), ("f2", "a2a4", 10, 1, 5, None, 4), ("8/8/8/8/8/8/8/K1k5 w - -", "a1a2", 22, 1, 300, 3, 5)]
+    start = C.START
+    rows = [(start, "e4 e7e5", 30, 10, 20, None, 1), (start, "d2d4", 30, 10, 5, None, 2), (start, "a2a3", 25, 99, 5, None, 3), (start, "a2a4", 10, 1, 5, None, 4), ("8/8/8/8/8/8/8/K1k5 w - -", "a1a2", 22, 1, 300, 3, 5)]
+    rows += [(start, "e2e5", 60, 10, 20, None, 6), ("junk", "e2e4", 60, 1, 1, None, 7), (start, " ", 60, 1, 1, None, 8)]
     raw = spark.createDataFrame(rows, "fen string, line string, depth int, knodes int, cp int, mate int, id int")
     best = S.evals(raw, "id")
-    assert {r["fen"]: (r["best_move"], r["id"]) for r in best.collect()} == {"f1": ("e2e4", 1), "8/8/8/8/8/8/8/K1k5 w - -": ("a1a2", 5)}
+    assert {r["fen"]: (r["best_move"], r["pv_line"], r["id"]) for r in best.collect()} == {start: ("e2e4", "e2e4 e7e5", 1), "8/8/8/8/8/8/8/K1k5 w - -": ("a1a2", "a1a2", 5)}
     classes = sorted((r["id"], r["class"]) for r in S.eval_classes(best).collect())
-    assert classes == [(1, "balanced"), (1, "best_move"), (1, "endgame"), (5, "endgame"), (5, "high_eval"), (5, "mate")]
+    assert classes == [(1, "balanced"), (1, "best_move"), (5, "endgame"), (5, "high_eval"), (5, "mate")]
 
 
 def test_openings_and_books(spark):
