@@ -9,6 +9,7 @@ from ..operators import eval_splits as E
 from ..operators import generators as G
 from ..operators import reports as R
 from ..operators import validate as V
+from ..sources import rule_boards as RB
 from ..sources import sampling as S
 from ..functions import protocol as P
 from . import boards as BD
@@ -114,6 +115,11 @@ def sampled_chess960(spark, sf):
     return S.chess960_positions(spark, table(spark, sf, "supplier").count(), 8, SEED).select("n_row", "fen", "chess960_id", "n_moves_applied")
 
 
+@query()
+def rule_positions(spark, sf):
+    return RB.rule_positions(spark, table(spark, sf, "nation").count(), seed=SEED)
+
+
 @query()
 def sampled_endgames(spark, sf):
     return S.endgame_positions(spark, ["KPK", "KRK", "KQKP", "KRPKR", "KBNK"], table(spark, sf, "nation").count(), SEED)

@@ -1,9 +1,12 @@
 from pyspark.sql import functions as F
 
+from plyforge.functions import chess
 from plyforge.functions import chess as C
 from plyforge.functions import metrics as M
+from plyforge.functions.answers import special_bucket
 from plyforge.operators import decontaminate as D
 from plyforge.operators import generators as G
+from plyforge.sources import rule_boards as RB
 
 WITH_EP = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq e6 0 2"
 WITHOUT = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 7"
@@ -67,3 +70,50 @@ def test_caps_variants_and_self_scores(spark):
     assert every.filter("is_chess960").select("fen").distinct().count() == 1
     assert every.select(M.by_piece_scores(F.col("answer"), F.col("answer"))["per_piece_group_jaccard"].alias("s")).distinct().collect() == [(1.0,)]
     assert G.task_rows(rows.limit(0), ["2.1_legal_move_gen"]).count() == 0
+
+
+def test_rule_positions(spark):
+    families = tuple(f for f in RB.FAMILIES if f != "queen")
+    rows = RB.rule_positions(spark, 12, families).collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["kind"], []).append(r)
+    assert {k: sorted(r["n_row"] for r in v) for k, v in kinds.items()} == {
+        k: list(range(1, 13))
+        for k in ("castling", "en_passant", "promotion", "none", "pinned_piece_exposes_king", "does_not_resolve_check", "king_would_be_in_check")
+    }
+    assert len({r["fen"] for r in rows}) == len(rows)
+    for r in rows:
+        p = chess.Position.parse(r["fen"])
+        legal = {p.uci(m) for m in p.legal()}
+        assert p.valid() and legal
+        if r["kind"] in ("castling", "en_passant", "promotion", "none"):
+            assert special_bucket(p) == r["kind"]
+        else:
+            assert {p.uci(m) for m in p.pseudo()} - legal
+            assert p.in_check() == (r["kind"] == "does_not_resolve_check")
+    again = RB.rule_positions(spark, 12, families).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_queen_positions_by_plain_search():
+    found = 0
+    for n in range(2 * 64**3 - 64 * 64, 2 * 64**3):
+        other, queen = n // 64 % 64, n % 64
+        cells = [""] * 64
+        cells[63], cells[other], cells[queen] = "K", "k", "q"
+        if len({63, other, queen}) < 3 or not (p := chess.Position(cells, True)).valid():
+            continue
+        made = RB.FAMILIES["queen"][1](n, 0)
+        state = chess.check_state(p)
+        assert (made[0], made[1].fen()) == (state, p.fen()) if state != "none" else made is None
+        found += state == "checkmate"
+    assert found
+
+
+def test_special_bucket_prefers_the_rarest():
+    parse = chess.Position.parse
+    assert special_bucket(parse("4k3/8/8/3pP3/8/8/8/R3K2R w KQ d6 0 1")) == "en_passant"
+    assert special_bucket(parse("7k/P7/8/8/8/8/8/R3K2R w KQ - 0 1")) == "promotion"
+    assert special_bucket(parse("7k/8/8/8/8/8/8/R3K2R w KQ - 0 1")) == "castling"
+    assert special_bucket(parse("7k/8/8/8/8/8/8/R3K2R w - - 0 1")) == "none"
