@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as C
 
-from .fixtures import docs, words
+from .fixtures import awkward_texts, docs, words
 
 
 def test_stages_in_turn(spark, tmp_path):
@@ -30,5 +30,30 @@ def test_stages_in_turn(spark, tmp_path):
     assert 500 not in got and 501 not in got and all(r["round_trip"] for r in got.values())
 
 
+def test_empty_tables(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in C.STAGES:
+        assert stage(spark, docs(spark, []), str(tmp_path)).collect() == []
+    assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_awkward_rows_without_labels_and_benchmark(spark, tmp_path):
+    table = docs(spark, awkward_texts())
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, table, str(tmp_path))
+        assert got.columns == table.columns, name
+        if name == "simhash_near_dedup":
+            assert set(rows(got)) < set(rows(table))
+            assert got.filter("doc_id is null").count() == table.filter("doc_id is null").count()
+        else:
+            assert rows(got) == rows(table), name
+    assert C.STAGES[-1][1](spark, table, str(tmp_path)).count() == table.count()
+
+
 def test_stage_order():
     assert [name for name, _ in C.STAGES] == ["quality_classifier", "toxicity", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece_nbest"]
