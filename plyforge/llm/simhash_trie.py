@@ -302,7 +302,9 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "t
     """(doc_id, fp, component_id) of every row of docs: component_id is the
     smallest doc_id that links reach, its own included. Null and empty texts have
     fingerprint 0 and link to each other; a null doc_id keeps its row and never
-    names a component; repeated rows give repeated rows; an empty table, none."""
+    names a component; repeated rows give repeated rows; an empty table, none. Texts
+    are read whole, however long; columns besides doc_id and text play no part. A bit
+    that is set in exactly half the shingles' hashes is 0."""
     marked = stash(fingerprints(docs, words, text), "fp")
     nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     named = _named(nodes.withColumnRenamed("fp", "node"), components(links(nodes.select("fp"), budget)))

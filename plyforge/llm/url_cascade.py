@@ -145,7 +145,10 @@ def judge(pages: DataFrame, domains: DataFrame, rules=RULES, max_bits: int = 1 <
     """(page_id, host, path, rule, verdict) of each row of pages(page_id, url).
     Rules go first, the longest that fits; else hosts that domains(domain) lists
     are blocked and all others allowed. Null urls and urls without :// have an
-    empty host and path and are allowed; repeated rows give repeated rows."""
+    empty host and path and are allowed; repeated rows and rows without a page_id give
+    rows of their own, an empty table gives none, other columns are left out. Urls are
+    read whole, however long. Of equally long rules that fit, the host that sorts last
+    decides; an empty list of domains blocks nothing."""
     parsed = pages.select("page_id", F.col("url").cast("string").alias("url")).select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
