@@ -202,6 +202,22 @@ class Vocabulary:
     def encode(self, text: str | None, n: int = 1) -> list[Path]:
         """The n best segmentations of a whole text, best first. Null and empty
         texts have the one empty segmentation."""
+        total, head, others = self.ranked(text, n)
+        out: list[Path] = [(total, head)]
+        for cost, changed in others:
+            ids: list[int] = []
+            at = 0
+            for start, stop, own in changed:
+                ids.extend(head[at:start])
+                ids.extend(own)
+                at = stop
+            ids.extend(head[at:])
+            out.append((total - cost, tuple(ids)))
+        return out
+
+    def ranked(self, text: str | None, n: int) -> tuple[float, tuple[int, ...], list[tuple]]:
+        """(score, ids) of the best segmentation, and for each of the next n - 1 what it
+        costs and, in order, the (start, stop, ids) by which it differs from the best."""
         units = self.units(text)
         pairs = self.pairs
         if len(pairs) >= self.most:
@@ -209,16 +225,14 @@ class Vocabulary:
         for unit in set(units).difference(pairs):
             if len(unit) <= LONGEST and len(pairs) < self.most:
                 pairs[unit] = self._pair(unit)
-        return self._join(units, [pairs.get(u) or self._pair(u) for u in units], n)
-
-    def _join(self, units: list[str], found: list[tuple], n: int) -> list[Path]:
+        found = [pairs.get(u) or self._pair(u) for u in units]
         if not found:
-            return [(0.0, ())]
+            return 0.0, (), []
         parts, costs = [f[:-1] for f in found], [f[-1] for f in found]
         head = tuple(chain.from_iterable(parts))
         total = self._score(head)
         if n == 1:
-            return [(total, head)]
+            return total, head, []
         # choices: (cost, places and ranks of what isn't the best path of its unit)
         choices: list[tuple[float, tuple]] = [(0.0, ())]
         alternatives: dict[int, list[Path]] = {}
@@ -235,26 +249,22 @@ class Vocabulary:
                 for rank, p in enumerate(paths)
             ]
             choices = heapq.nsmallest(n, more)
-        out: list[Path] = [(total, head)]
-        if len(choices) > 1:
-            stops = list(accumulate(map(len, parts)))
-        for cost, changed in choices[1:]:
-            ids: list[int] = []
-            at = 0
-            for place, rank in sorted(changed):
-                ids.extend(head[at : stops[place] - len(parts[place])])
-                ids.extend(alternatives[place][rank][1])
-                at = stops[place]
-            ids.extend(head[at:])
-            out.append((total - cost, tuple(ids)))
-        return out
+        if len(choices) == 1:
+            return total, head, []
+        stops = list(accumulate(map(len, parts)))
+        spans = lambda changed: [(stops[i] - len(parts[i]), stops[i], alternatives[i][rank][1]) for i, rank in sorted(changed)]
+        return total, head, [(cost, spans(changed)) for cost, changed in choices[1:]]
 
     def spell(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become the replacement mark."""
-        text = self.spell(ids).decode("utf-8", "replace").replace(BLANK, " ")
+        return self.read(self.spell(ids))
+
+    @staticmethod
+    def read(spelt: bytes) -> str:
+        text = spelt.decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -297,15 +307,19 @@ def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     ship(docs.sparkSession)
 
     def one(vocab: Vocabulary, text: str | None) -> tuple:
-        found = vocab.encode(text, n)
-        plain = (text or "").replace(BLANK, " ")
-        raw = [array("I", ids).tobytes() for _, ids in found]
-        crc = 0
-        for r in raw:
-            crc = zlib.crc32(r, crc)
-        best = vocab.spell(found[0][1])
-        same = vocab.decode(found[0][1]) == plain and all(vocab.spell(ids) == best for _, ids in found[1:])
-        return len(found[0][1]), zlib.crc32(raw[0]), found[0][0], len(found), crc, found[-1][0], same
+        total, head, others = vocab.ranked(text, n)
+        raw = memoryview(array("I", head).tobytes())
+        own = crc = zlib.crc32(raw)
+        same = vocab.read(vocab.spell(head)) == (text or "").replace(BLANK, " ")
+        for _, changed in others:
+            # all else is the best one's: it has been read already
+            at = 0
+            for start, stop, ids in changed:
+                crc = zlib.crc32(array("I", ids).tobytes(), zlib.crc32(raw[4 * at : 4 * start], crc))
+                same = same and vocab.spell(ids) == vocab.spell(head[start:stop])
+                at = stop
+            crc = zlib.crc32(raw[4 * at :], crc)
+        return len(head), own, total, 1 + len(others), crc, total - others[-1][0] if others else total, same
 
     names = ["n_pieces", "ids_crc32", "score", "n_best", "best_crc32", "last_score", "round_trip"]
 
