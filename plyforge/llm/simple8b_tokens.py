@@ -210,6 +210,16 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, bool, np.ndarray]]:
             yield (None if flag & 1 else key), bool(flag & 2), ids[a:b]
 
 
+def count_ids(data: bytes) -> int:
+    """The ids of a file, by the heads of its segments alone."""
+    at = n = 0
+    while at < len(data):
+        _, n_pieces, n_blocks, n_ids, n_words = HEAD.unpack_from(data, at)
+        at += HEAD.size + n_pieces * (8 + 1 + 4) + 8 * (n_blocks + n_words) + len(TRAILER)
+        n += n_ids
+    return n
+
+
 #: Texts of these characters only: no letter composes, and case folds one by one.
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xff]*")
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -351,12 +361,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return found.mapInPandas(run, "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def with_global_start(found: DataFrame) -> DataFrame:
-    """read_tokens with start counted over all files: the files' totals, one row a
-    file, are summed up in file order and joined back."""
-    found = stash(found, "ids")
+def file_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n) of each file: how many ids it has."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"file": pdf["path"], "n": [count_ids(d) for d in pdf["content"]]}).astype({"n": "int64"})
+
+    ship(spark)
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.mapInPandas(run, "file string, n long")
+
+
+def with_global_start(found: DataFrame, totals: DataFrame) -> DataFrame:
+    """read_tokens with start counted over all files: file_totals, one row a file,
+    are summed up in file order and joined."""
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1))
     bases = stash(totals.select("file", F.coalesce(before, F.lit(0)).alias("base")), "bases")
     return found.join(bases, "file").withColumn("start", F.col("start") + F.col("base")).drop("base")
@@ -367,7 +387,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return with_global_start(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_global_start(read_tokens(spark, path), file_totals(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op6_token_ids": op6_token_ids}

@@ -146,7 +146,7 @@ def test_token_files(spark):
 
     path, vocabulary = f"{shared_dir(spark)}/{uuid.uuid4().hex}", public_tokenizers.path("word_bpe_49k.json")
     T.write_tokens(docs(spark), path, vocabulary, file_bytes=40_000)
-    got = T.with_global_start(T.read_tokens(spark, path)).orderBy("start").collect()
+    got = T.with_global_start(T.read_tokens(spark, path), T.file_totals(spark, path)).orderBy("start").collect()
     library = T.encoder(vocabulary).tokenizer
     rows = awkward_texts()
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
@@ -167,7 +167,7 @@ def test_no_documents(spark):
 
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     T.write_tokens(docs(spark, []), path, public_tokenizers.path("word_bpe_49k.json"))
-    assert T.with_global_start(T.read_tokens(spark, path)).count() == 0
+    assert T.with_global_start(T.read_tokens(spark, path), T.file_totals(spark, path)).count() == 0
 
 
 def test_base32_digest(spark):
