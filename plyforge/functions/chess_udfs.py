@@ -3,6 +3,8 @@ give null; so do null inputs."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,13 @@ from . import chess
 
 
 def _position(fen, chess960) -> chess.Position | None:
+    return _read(fen, bool(chess960) if chess960 is not None and chess960 == chess960 else False) if isinstance(fen, str) else None
+
+
+@lru_cache(maxsize=256)  # rows and columns that ask about one position lie together
+def _read(fen: str, chess960: bool) -> chess.Position | None:
     try:
-        p = chess.Position.parse(fen, bool(chess960) if chess960 is not None and chess960 == chess960 else False)
+        p = chess.Position.parse(fen, chess960)
     except (ValueError, TypeError, AttributeError):
         return None
     return p if p.valid() else None
