@@ -14,6 +14,7 @@ from ..functions.chess_udfs import _position
 from ..functions.keys import example_identity, hash_order
 from ..functions.protocol import valid_fen, variant_key
 from ..ship import ship
+from ..store import spread, stash
 from .decontaminate import ROW_FEN, block_keys
 from .ranking import with_rank
 
@@ -128,7 +129,7 @@ def task_rows(positions: DataFrame, tasks: list[str], blocked: DataFrame | None
     variant, and across variants where castling is gone. Choices come from a hash of
     seed, task and position; with ``per_task`` each task keeps its first rows by hash
     order."""
-    rows = positions.select("fen", F.coalesce(_column(positions, "is_chess960", F.lit(False)), F.lit(False)).alias("is_chess960"), _column(positions, "extra", F.lit(None).cast("string")).alias("extra"))
+    rows = spread(positions).select("fen", F.coalesce(_column(positions, "is_chess960", F.lit(False)), F.lit(False)).alias("is_chess960"), _column(positions, "extra", F.lit(None).cast("string")).alias("extra"))
     # a row that is valid as Chess960 only is one, whatever it says
     rows = rows.withColumn("pos_key", variant_key(F.col("fen"), chess960=F.col("is_chess960"))).withColumn("is_chess960", F.col("pos_key").startswith("960:"))
     keys = None if blocked is None else block_keys(blocked, chess960=_column(blocked, "is_chess960", F.lit(False)))
@@ -138,7 +139,9 @@ def task_rows(positions: DataFrame, tasks: list[str], blocked: DataFrame | None
     numbers = F.transform(names, lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("fen")), F.lit(1 << 20)).cast("int"))
     rows = rows.withColumn("_tasks", names).withColumn("_numbers", numbers)
     rows = rows.withColumn("_found", task_answers(F.col("fen"), F.col("_tasks"), F.col("_numbers"), F.col("extra"), F.col("is_chess960")))
-    rows = rows.select("fen", "is_chess960", "pos_key", F.inline("_found"))
+    # the planner has inline() filter on the answers' number, and takes that filter, and
+    # with it the answers, below the distinct and the spreading that positions come from
+    rows = rows.select("fen", "is_chess960", "pos_key", F.inline_outer("_found")).filter("task is not null")
     rows = rows.withColumn("choice", F.pmod(F.xxhash64(F.lit(seed), "task", "fen"), F.lit(1 << 20)).cast("int"))
     rows = rows.withColumn("example_identity", identity(F.col("task"), F.col("pos_key"), F.col("fields")))
     if keys is not None:
@@ -151,9 +154,10 @@ def task_rows(positions: DataFrame, tasks: list[str], blocked: DataFrame | None
 
 def _without_blocked_answers(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose answer holds no blocked FEN. Only rows whose answer holds any are
-    looked up, by the answers' own FENs."""
+    looked up, by the answers' own FENs. The rows are read several times: they are
+    written once, not worked out each time."""
     fens = F.regexp_extract_all("answer", F.lit(ROW_FEN), F.lit(0))
-    held = rows.withColumn("_fens", fens)
+    held = stash(rows.withColumn("_fens", fens), "held")
     some = held.filter(F.size("_fens") > 0)
     each = some.select("is_chess960", F.explode("_fens").alias("_fen")).distinct()
     bad = each.withColumn("key", variant_key(F.col("_fen"), chess960=F.col("is_chess960"))).join(keys, "key", "left_semi").select(F.col("is_chess960").alias("_960"), "_fen")

@@ -53,10 +53,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in turn on all cores, several parts for each, ahead of a step that costs far
+    more than its rows weigh: the planner cuts and merges tasks by their bytes, and a
+    few megabytes of positions would be worked out by a single one."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def unstash(df: DataFrame) -> None:
     """Deletes the files of a stashed frame that no later plan reads."""
     for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
         delete(df.sparkSession, folder)
 
 
-__all__ = ["delete", "fresh_path", "shared_dir", "stash", "unstash"]
+__all__ = ["delete", "fresh_path", "shared_dir", "spread", "stash", "unstash"]

@@ -117,3 +117,15 @@ def test_special_bucket_prefers_the_rarest():
     assert special_bucket(parse("7k/P7/8/8/8/8/8/R3K2R w KQ - 0 1")) == "promotion"
     assert special_bucket(parse("7k/8/8/8/8/8/8/R3K2R w KQ - 0 1")) == "castling"
     assert special_bucket(parse("7k/8/8/8/8/8/8/R3K2R w - - 0 1")) == "none"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_worked_out_once_and_on_all_cores(spark):
+    """Once for each distinct position, not below the distinct for each row."""
+    rows = spark.createDataFrame([(C.START,)] * 3, "fen string").distinct()
+    plan = _plan(G.task_rows(rows, ["1.2_board_to_fen"]))
+    assert plan.count("size(") == 0 and plan.index("ArrowEvalPython") < plan.index("Repartition") < plan.index("Aggregate")
+    assert "ArrowEvalPython" not in plan[plan.index("Aggregate"):]
