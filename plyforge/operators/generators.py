@@ -172,10 +172,11 @@ def training_rows(rows: DataFrame, templates: DataFrame, contracts: DataFrame |
     identity and filled with the row's fields and its position, then the task's
     contract(task, contract). Tasks without a template give no row. metadata is a map
     of the fields and the example's identity."""
-    pools = templates.groupBy("task").agg(F.array_sort(F.collect_set("template")).alias("_pool"))
+    # tables of a known size: where they are small no row moves, and rows of one task are many
+    pools = stash(templates.groupBy("task").agg(F.array_sort(F.collect_set("template")).alias("_pool")), "pools")
     joined = rows.join(pools, "task")
     if contracts is not None:
-        joined = joined.join(contracts.select("task", "contract"), "task", "left")
+        joined = joined.join(stash(contracts.select("task", "contract"), "contracts"), "task", "left")
     else:
         joined = joined.withColumn("contract", F.lit(None).cast("string"))
     at = F.pmod(F.xxhash64(F.lit(seed), "example_identity"), F.size("_pool")).cast("int")
