@@ -84,3 +84,9 @@ def test_every_case_scores_itself(spark):
     got = T.verification_cases(rows).withColumn("s", M.step_scores(F.col("expected_answer"), F.col("expected_answer"))["primary"]).collect()
     assert len(got) == 5 + 2 and all(r["s"] == 1.0 for r in got)
     assert all(r["verification_trace"].startswith("1. ") for r in got) and {r["faulty_line"] for r in got if r["verification_verdict"] == "sound"} == {"none"}
+
+
+def test_a_fault_is_worked_out_once(spark):
+    """Each cuts the trace into lines once, however often their places are named."""
+    for made in (T.wrong_balance, T.wrong_best, T.wrong_bucket, T.flipped_sign, T.malformed):
+        assert str(made(F.col("t"))).count("split(t") == 1
