@@ -4,6 +4,7 @@ moves, binary choices, traces. Each is one Arrow-batched column function."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -162,6 +163,29 @@ def _flag(x) -> bool:
     return bool(x) if x is not None and x == x else False
 
 
+# Positions come again in other rows: results for texts of a FEN's length are kept.
+
+
+@lru_cache(maxsize=1 << 16)
+def _known_key(t: str, v: bool) -> str:
+    return chess.variant_key(t, v)
+
+
+@lru_cache(maxsize=1 << 16)
+def _known_valid(t: str, v: bool) -> bool:
+    return (p := _board(t, v)) is not None and p.valid()
+
+
+@lru_cache(maxsize=1 << 16)
+def _known_legal(t: str, m: str, v: bool) -> bool:
+    return _known_valid(t, v) and m in {p.uci(x) for p in [_board(t, v)] for x in p.legal()}
+
+
+def _seen(known, v: bool, *texts: str):
+    """known(*texts, v), kept unless the texts are long."""
+    return (known if sum(map(len, texts)) <= 120 else known.__wrapped__)(*texts, v)
+
+
 def _udf(returns: str, body):
     """body(text, ..., chess960) for each row, as a column function of the same."""
 
@@ -180,12 +204,12 @@ def _udf(returns: str, body):
 canonical_fen = _udf("string", lambda t, v: find_fen(_text(t), v))
 whole_fen = _udf("string", lambda t, v: find_fen(_text(t), v, whole=True))
 canonical_key = _udf("string", lambda t, v: chess.canonical_key(_text(t), v))
-variant_key = _udf("string", lambda t, v: chess.variant_key(_text(t), v))
+variant_key = _udf("string", lambda t, v: _seen(_known_key, v, _text(t)))
 blocking_keys = _udf("array<string>", lambda t, v: chess.blocking_keys(_text(t), v))
 normalized_key = _udf("string", lambda t, v: chess.normalized_key(_text(t)))
-valid_fen = _udf("boolean", lambda t, v: (p := _board(_text(t), v)) is not None and p.valid())
+valid_fen = _udf("boolean", lambda t, v: _seen(_known_valid, v, _text(t)))
 valid_line = _udf("boolean", lambda t, m, v: (p := _board(_text(t), v)) is not None and p.valid() and bool(_text(m).split()) and len(chess.replay_uci(p, _text(m).split())) == len(_text(m).split()))
-_legal = _udf("boolean", lambda t, m, v: (p := _board(_text(t), v)) is not None and p.valid() and _text(m) in {p.uci(x) for x in p.legal()})
+_legal = _udf("boolean", lambda t, m, v: _seen(_known_legal, v, _text(t), _text(m)))
 _choice = _udf("double", lambda p, g, a, b, v: choice(_text(p), _text(g), a, b))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import stash
 from .joins import first_reason
 from .ranking import with_rank
 
@@ -38,7 +39,8 @@ def refresh(
     ``reason``: the first rule that holds, then ``duplicate`` for a later row of the
     same identity, then ``max_examples`` for all that come after ``cap`` accepted
     rows by ordinal; null for the rows to keep. ``bucket`` must rise with ordinal."""
-    joined = judgments.join(rollouts, "rollout_id", "left").join(prompts, "prompt_id", "left").withColumn("reason", first_reason(rules))
+    # read once for each step below, the moves' legality included: written, not joined again
+    joined = stash(judgments.join(rollouts, "rollout_id", "left").join(prompts, "prompt_id", "left").withColumn("reason", first_reason(rules)), "refresh")
     open_ = joined.filter("reason is null")
     heads = open_.groupBy(*identity).agg(F.min(ordinal).alias("_first"))
     heads = heads.select(*[F.col(c).alias(f"_i{i}") for i, c in enumerate(identity)], "_first")
