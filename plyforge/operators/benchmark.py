@@ -14,6 +14,7 @@ from ..functions.keys import hash_order
 from ..functions.metrics import metric_of, primary_score
 from ..functions.protocol import choice_match, fen_exact
 from ..ship import ship
+from ..store import spread, stash
 from .generators import _column, _said, board_context, render, with_contract
 from .joins import missing_from
 from .ranking import number_bucket, with_rank
@@ -127,13 +128,14 @@ def freeze_split(positions: DataFrame, split: str, tasks: list[str] | None, ordi
         F.col(ordinal), "fen", F.coalesce(_column(positions, "is_chess960", F.lit(False)), F.lit(False)).alias("is_chess960"),
         _column(positions, "extra", F.lit(None).cast("string")).alias("extra"), _column(positions, "task_type", F.lit(None).cast("string")).alias("_asked"),
     )
-    turned = with_rank(rows, [], F.col(ordinal), "_i", number_bucket(ordinal, _RANGE))
+    turned = spread(with_rank(rows, [], F.col(ordinal), "_i", number_bucket(ordinal, _RANGE)))
     every = F.array(*[F.lit(t) for t in names])
     primary = F.element_at(every, (F.pmod(F.col("_i") - 1, F.lit(len(names))) + 1).cast("int"))
     order = F.array(planning_task(F.col("_asked"), F.col("extra"))) if split == "planning" and tasks is None else F.concat(F.array(primary), F.array_remove(every, primary))
     number = F.pmod(F.xxhash64(F.lit(seed), "fen"), F.lit(1 << 20)).cast("int")
     kept = turned.withColumn("_order", order).withColumn("a", first_answer(F.col("fen"), F.col("_order"), number, F.col("extra"), F.col("is_chess960"))).filter("a.gold_answer is not null")
-    kept = kept.drop("_i", "_order")
+    # counted and ranked below: written once, not answered for each
+    kept = stash(kept.drop("_i", "_order"), "answered")
     ranked = with_rank(kept, [], F.col(ordinal), "_i", number_bucket(ordinal, _RANGE)).select(
         F.concat(F.lit(f"{split}_"), F.format_string("%05d", F.col("_i") - 1)).alias("example_id"), F.lit(split).alias("split"), "a.task_type", "fen", "is_chess960", "a.gold_answer", "a.fields",
     )
@@ -145,12 +147,12 @@ def freeze_split(positions: DataFrame, split: str, tasks: list[str] | None, ordi
 
 
 def _prompts(rows: DataFrame, templates: DataFrame, contracts: DataFrame | None) -> DataFrame:
-    pool = templates.groupBy(F.col("task_type").alias("_t")).agg(F.min("template").alias("_template"))
+    pool = stash(templates.groupBy(F.col("task_type").alias("_t")).agg(F.min("template").alias("_template")), "pool")
     joined = rows.join(pool, rows["task_type"] == pool["_t"], "left").drop("_t")
     if contracts is None:
         joined = joined.withColumn("_contract", F.lit(None).cast("string"))
     else:
-        own = contracts.select(F.col("task_type").alias("_t"), F.col("contract").alias("_contract"))
+        own = stash(contracts.select(F.col("task_type").alias("_t"), F.col("contract").alias("_contract")), "contracts")
         joined = joined.join(own, joined["task_type"] == own["_t"], "left").drop("_t")
     context = F.map_concat(board_context(F.col("fen"), F.col("is_chess960")), F.create_map(F.lit("fen"), F.col("fen")))
     values = F.map_concat(F.map_filter(context, lambda k, v: ~F.map_contains_key("fields", k)), F.col("fields"))

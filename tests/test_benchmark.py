@@ -18,6 +18,9 @@ def test_frozen_splits(spark):
     assert [(r["example_id"], r["task_type"], r["metric_type"]) for r in frozen] == [("rules_00000", "check_detection", "check_state"), ("rules_00001", "captures", "uci_set_jaccard"), ("rules_00002", "check_detection", "check_state")]
     assert frozen[1]["gold_answer"] == "No captures available." and frozen[1]["prompt"] == "Takes?" and frozen[0]["prompt"] == f"FEN: {C.START}, white"
     assert B.oracle_failures(table).count() == 0
+    # answered once, not for each count and rank
+    bare = B.freeze_split(rows, "rules", ["check_detection"], "id")
+    assert "ArrowEvalPython" not in bare._jdf.queryExecution().optimizedPlan().toString()
     planned = spark.createDataFrame([("rules", "check_detection"), ("rules", "ray_walk")], "split string, task_type string")
     assert [tuple(r) for r in B.coverage_gaps(planned, table).collect()] == [("rules", "ray_walk")]
     assert B.manifest(table).first()["n"] == 3 and B.manifest(table).first() == B.manifest(table.orderBy(F.desc("example_id"))).first()
