@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -92,3 +93,48 @@ def test_long_units_and_a_full_memo(spark):
     assert P.digest(docs(spark, []), P.model_path()).count() == 0
     twice = P.digest(docs(spark, [(1, "same text"), (1, "same text")]), P.model_path()).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
+
+
+class Counted(dict):
+    looked = 0
+
+    def get(self, *args):
+        self.looked += 1
+        return super().get(*args)
+
+
+def test_repeated_units_are_looked_up_once():
+    small = P.Vocabulary([*PIECES, *((f"<0x{b:02X}>", 0.0) for b in range(256))], BYTES, {0})
+    small.pairs = Counted()
+    text = "ab ba " * 500
+    assert small.encode(text, 4) == SMALL.encode(text, 4)
+    assert small.pairs.looked <= len(small.pairs) == 3  # " ab", " ba" and the last blank
+
+
+def test_units_searched_abreast_equal_units_searched_alone():
+    rng = random.Random(1)
+    letters = [*"abthe .,!19", "\n", "\0", "é", "日", "😀", "\u0301", "\ud800", "\U0010ffff"]
+    units = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(1, 70))) for _ in range(800)))
+    bare = P.Vocabulary(PIECES, {}, {0})  # nothing spells what no piece holds
+    for vocab in (SMALL, bare, P.vocabulary(P.model_path())):
+        ids, sizes, costs = vocab._pairs(units)
+        alone = [vocab._pair(u) for u in units]
+        assert ids.tolist() == [i for parts, _ in alone for part in parts for i in part]
+        assert sizes.tolist() == [sum(map(len, parts)) for parts, _ in alone]
+        assert costs.tolist() == [cost for _, cost in alone]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("ab é.!▁\n"), max_size=9), max_size=8), st.integers(1, 5))
+def test_groups_of_texts_equal_single_texts(texts, n):
+    group, abreast = P.GROUP, P.ABREAST
+    try:
+        P.GROUP, P.ABREAST = 12, 3
+        assert list(SMALL.encode_all(texts, n)) == [SMALL.encode(t, n) for t in texts]
+    finally:
+        P.GROUP, P.ABREAST = group, abreast
+    units, which, begins = SMALL.units([t or "" for t in texts])
+    assert len(set(units)) == len(units)
+    for t, a, b in zip(texts, begins[:-1], begins[1:], strict=True):
+        marked = " " + t.replace(P.BLANK, " ") if t else ""
+        assert [units[i] for i in which[a:b]] == re.findall(r" *[^ .!\n]+| *[.!\n]+| +", marked)
