@@ -24,8 +24,8 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,10 @@ PACKINGS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 _COUNTS = np.array([1, *(c for c, _ in PACKINGS)], dtype=np.uint8)
 
 
+#: The selector, by how many fit.
+_CHOICE = np.array([0, *range(len(PACKINGS), 0, -1)], dtype=np.uint8)
+
+
 #: Bits of numbers below 65536.
 _SHORT = np.ceil(np.log2(np.arange(65536) + 1)).astype(np.uint8)
 
@@ -82,26 +86,32 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         v[-1, : n - whole] = ids[whole:]
     v = v.ravel()
     widest = {1: _widths(v)}  # by window length
-    choice = np.zeros(len(v), np.uint8)
+    fits = np.zeros(len(v), np.uint8)  # selectors: where one fits, so do those of fewer and wider ids
     size = 1
-    for selector in range(len(PACKINGS), 0, -1):  # from few wide ids to many narrow ones
-        count, bits = PACKINGS[selector - 1]
+    for count, bits in reversed(PACKINGS):  # from few wide ids to many narrow ones
         while 2 * size <= count:
             w = widest[size]
             widest[2 * size] = np.maximum(w, np.r_[w[size:], np.zeros(size, np.uint8)])
             size *= 2
         w, lag = widest[size], count - size
         top = np.maximum(w, np.r_[w[lag:], np.zeros(lag, np.uint8)]) if lag else w
-        choice[top <= bits] = selector
-    jumps, starts, firsts = _COUNTS[choice].tobytes(), [], []
-    for b in range(blocks):
-        firsts.append(len(starts))
-        i = b * (block + room)
-        end = i + min(block, n - b * block)
-        while i < end:
-            starts.append(i)
-            i += jumps[i]
-    starts = np.array(starts)
+        fits += (top <= bits).view(np.uint8)
+    choice = _CHOICE[fits]
+    jumps = _COUNTS[choice]
+    # all blocks step by step, side by side; one that is through stays at its end
+    at = np.arange(blocks, dtype=np.int64) * (block + room)
+    end = at + np.minimum(block, n - np.arange(blocks) * block)
+    steps = []
+    while True:
+        steps.append(at)
+        at = np.minimum(at + jumps[at], end)
+        if (at == end).all():
+            break
+    steps = np.stack(steps, axis=1)
+    within = steps < end[:, None]
+    starts = steps[within]
+    firsts = np.cumsum(within.sum(axis=1))
+    firsts = np.r_[0, firsts[:-1]]
     chosen = choice[starts]
     place = np.cumsum(np.where(chosen == 0, 2, 1))
     place -= np.where(chosen == 0, 2, 1)
@@ -256,47 +266,136 @@ def _byte_marks() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """Ids by run of lower-cased non-blanks, as bytes. A run that isn't there yet is
-    split into words, which the library's model merges; at ``most`` runs the table
-    starts anew."""
+#: Kinds of bytes; those from _NUMBER_KIND on are units of their own.
+_BLANK_KIND, _LETTER_KIND, _OTHER_KIND, _NUMBER_KIND, _END_KIND = range(5)
+
+
+def _tables() -> tuple[bytes, bytes]:
+    """(lower case, kind) of each byte of a plain text in Latin-1; byte 0 ends a text."""
+    lower, kind = bytearray(range(256)), bytearray([_OTHER_KIND]) * 256
+    for i, c in enumerate(map(chr, range(256))):
+        if _PLAIN.fullmatch(c):
+            lower[i] = ord(c.lower())
+            kind[i] = _BLANK_KIND if c in "\t\n\r " else _LETTER_KIND if re.match(f"[{_LETTER}]", c) else _NUMBER_KIND if re.match(f"[{_NUMBER}]", c) else _OTHER_KIND
+    kind[0] = _END_KIND
+    return bytes(lower), bytes(kind)
 
-    def __init__(self, model, most: int):
-        self.model, self.most, self.marks = model, most, _byte_marks()
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        merge = self.model.tokenize
-        found = array("I")
-        for word in _SPLIT.findall(run):
-            found.extend([p.id for p in merge(word.encode("utf-8").decode("latin-1").translate(self.marks))])
-        ids = found.tobytes()
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
+_LOWER_BYTES, _KIND_BYTES = _tables()
+
+
+def split_units(data: bytes) -> pa.BinaryArray:
+    """The units that _SPLIT finds in lower-cased plain texts in Latin-1, each closed
+    by a byte 0, which is a unit as well."""
+    raw, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KIND_BYTES), np.uint8)
+    begins = kind >= _NUMBER_KIND
+    begins[:1] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    marks = np.flatnonzero(raw == ord("'"))
+    marks = marks[begins[marks] & (kind[marks + 1] == _LETTER_KIND)]  # 's and the like begin with a unit, never within one
+    first, second = raw[marks + 1], raw[marks + 2]
+    short = np.isin(first, list(b"stmd"))
+    long = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    begins[marks[short | long] + 1] = False
+    begins[marks[short] + 2] = True
+    begins[marks[long] + 3] = True
+    solid = kind != _BLANK_KIND
+    text = raw[solid]
+    offsets = np.append(np.flatnonzero(begins[solid]), len(text)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text)])
 
 
 class WordEncoder:
     """Encodes whole texts as the tokenizers library does. In a vocabulary file
     that splits texts into words first and merges within each, a word's ids don't
-    depend on its neighbours: distinct runs of non-blanks in plain texts are merged
-    by the library once and kept (at most ``most`` of them); any other text, and any
-    other kind of file, goes to the library whole."""
+    depend on its neighbours: plain texts are cut into words in arrays, and distinct
+    words are merged by the library's model once and kept; any other text, and any
+    other kind of file, goes to the library whole.
+
+    At most ``most`` words are kept: when half as many are known they become the older
+    half, of which those that aren't met again before the next time are dropped."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = splits_words(path)
-        self.words = _Known(self.tokenizer.model, most)
+        self.merger = Tokenizer(self.tokenizer.model)  # the model alone, for words in byte marks
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        self.marks, self.most = {b: c for b, c in _byte_marks().items() if b != ord("\n")}, most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        suffix, vocab = self.split and self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that only a word's last piece has
+        if suffix:
+            self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
 
     def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if not self.split or "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u4")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None], end: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text, closed by ``end`` if it is given."""
+        texts = [text or "" for text in texts]
+        plain = [self.split and "<|" not in text and _PLAIN.fullmatch(text) is not None for text in texts]
+        pieces = self._plain([text for text, p in zip(texts, plain, strict=True) if p], end or 0)
+        close = [] if end is None else [end]
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                yield next(pieces)[: None if close else -1]
+            else:
+                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, *close], "<u4")
+
+    def _plain(self, texts: list[str], end: int, size: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of plain texts, each closed by end. Units are told apart over all
+        texts and put together for about ``size`` characters at a time."""
+        if not texts:
+            return
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(texts)]
+        parts = (texts[a:b] for a, b in zip(cuts, cuts[1:]))
+        units = pa.chunked_array([split_units(("\0".join(p) + "\0").encode("latin-1").translate(_LOWER_BYTES)) for p in parts]).dictionary_encode()
+        # the last chunk's dictionary has all units; earlier ones may lack some
+        distinct = units.chunk(units.num_chunks - 1).dictionary.to_numpy(zero_copy_only=False).tolist()
+        stop = distinct.index(b"\0")
+        found = list(map(self.known.get, distinct))
+        found[stop] = np.array([end], "<u4").tobytes()
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        for i in absent:
+            found[i] = self.older.get(distinct[i])
+        new = [i for i in absent if found[i] is None]
+        for i, ids in zip(new, self._merge([distinct[i] for i in new]), strict=True):
+            found[i] = ids
+        room = self.most // 2
+        if len(self.known) + len(absent) > room:
+            self.older, self.known = self.known, {}
+        self.known.update(islice(((distinct[i], found[i]) for i in absent if len(distinct[i]) <= 64), room - len(self.known)))
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        firsts = np.cumsum(lengths, dtype=np.int32) - lengths
+        flat = np.frombuffer(b"".join(found), "<u4")
+        for chunk in units.chunks:
+            codes = chunk.indices.to_numpy()
+            n = lengths[codes]
+            after = np.cumsum(n, dtype=np.int32)
+            at = np.repeat(firsts[codes] - after + n, n)
+            at += np.arange(len(at), dtype=np.int32)
+            yield from np.split(flat[at], after[codes == stop][:-1])
+
+    def _merge(self, words: list[bytes], size: int = 1000) -> Iterator[bytes]:
+        """The ids of lower-cased words, by the library, some words at a time. Its fast
+        way doesn't say which word an id is of: where not every word ends in an id of
+        ``last`` the other way does."""
+        for at in range(0, len(words), size):
+            some = words[at : at + size]
+            marked = b"\n".join(some).decode("latin-1").encode("utf-8").decode("latin-1").translate(self.marks)
+            ids = np.array(self.merger.encode_batch_fast([marked], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(some):
+                merged = self.merger.encode(marked, add_special_tokens=False)
+                ids, stops = np.array(merged.ids, "<u4"), np.cumsum(np.bincount(merged.word_ids, minlength=len(some)))
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *stops], stops))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -309,22 +408,28 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, file_bytes: int = 24 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, file_bytes: int = 24 << 20, group_bytes: int = 12 << 20) -> None:
     """Encodes docs(doc_id, text) whole, ends each with end_id, and writes files of
     the ids in ascending order of doc_id (null ids first; rows with one id in any
-    order), each from about file_bytes of text. Null texts count as empty."""
+    order), each from about file_bytes of text. Null texts count as empty. Texts are
+    encoded in groups of about group_bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ship(docs.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
 
     def run(batches):
-        encode = encoder(vocabulary).encode
-        stop = np.array([end_id], "<u4")
+        encode_all = encoder(vocabulary).encode_all
 
         def each():
+            keys, texts, held = [], [], 0
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield key, np.concatenate((encode(text), stop))
+                keys += batch.column(0).to_pylist()
+                texts += batch.column(1).to_pylist()
+                held += batch.nbytes
+                if held >= group_bytes:
+                    yield from zip(keys, encode_all(texts, end_id), strict=True)
+                    keys, texts, held = [], [], 0
+            yield from zip(keys, encode_all(texts, end_id), strict=True)
 
         for segment in segments(each()):
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], ["value"])

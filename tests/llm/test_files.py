@@ -120,6 +120,63 @@ def test_a_full_word_table_starts_anew():
     assert small.encode(text).tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_merged_once_whatever_stands_beside_it():
+    import public_tokenizers
+
+    encoder, merged = T.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    merge = encoder._merge
+    encoder._merge = lambda words: merge(merged.extend(words) or words)
+    texts = ["(Doosque) doosque, doosque.", "doosque; it's 12 DOOSQUE!", "", None, "doosque\n\"doosque\""]
+    for _ in range(2):  # the second time everything is known
+        assert [ids.tolist() for ids in encoder.encode_all(texts, 1)] == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sorted(merged) == sorted([b"doosque", b"(", b")", b",", b".", b";", b"it", b"'s", b"1", b"2", b"!", b'"'])
+
+
+def test_words_that_are_met_again_outlast_a_full_table():
+    import public_tokenizers
+
+    encoder, merged = T.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most=20), []
+    merge = encoder._merge
+    encoder._merge = lambda words: merge(merged.extend(words) or words)
+    for i in range(26):
+        text = "often " + " ".join(chr(97 + i) + c for c in "abc")
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.older) <= 20
+    assert merged.count(b"often") == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abdelmrstvéßªµ''''12².,!- \t\n"), max_size=20), max_size=4))
+def test_units_are_those_of_the_pattern(texts):
+    want = [u.encode("latin-1") for t in texts for u in [*T._SPLIT.findall(t), "\0"]]
+    assert T.split_units("".join(t + "\0" for t in texts).encode("latin-1")).to_pylist() == want
+
+
+def test_every_latin_1_character_and_texts_over_several_parts():
+    import public_tokenizers
+
+    encoder = T.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    library = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = [c for i in range(256) for c in (chr(i), f"x{chr(i)}y", f"'{chr(i)}")] + ["日本 <|x", "l'eau 's"]
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == [library(t) for t in texts]
+    plain = ["First one's", "", "x" * 30, "second two, one", "third"]
+    assert [ids.tolist() for ids in encoder._plain(plain, 7, size=8)] == [[*library(t), 7] for t in plain]
+
+
+def test_a_vocabulary_without_a_mark_for_the_end_of_words(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["model"]["end_of_word_suffix"] = None
+    (tmp_path / "open.json").write_text(json.dumps(spec))
+    encoder = T.WordEncoder(str(tmp_path / "open.json"))
+    assert encoder.split and not encoder.last.any()
+    for text in ("Hello, it's a test of 12 words", "", "é!"):
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_the_way_of_encoding_follows_from_the_file_s_content(tmp_path):
     import json
     import shutil
