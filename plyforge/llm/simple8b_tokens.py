@@ -25,11 +25,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,10 +312,10 @@ class WordEncoder:
     words are merged by the library's model once and kept; any other text, and any
     other kind of file, goes to the library whole.
 
-    At most ``most`` words are kept: when half as many are known they become the older
-    half, of which those that aren't met again before the next time are dropped."""
+    Words are kept in arrays, with the group of texts that had them last: of more than
+    ``most`` only half as many stay, those met last."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -325,8 +325,8 @@ class WordEncoder:
         self.merger = Tokenizer(self.tokenizer.model)  # the model alone, for words in byte marks
         self.merger.pre_tokenizer = WhitespaceSplit()
         self.marks, self.most = {b: c for b, c in _byte_marks().items() if b != ord("\n")}, most
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.lengths, self.met, self.groups = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
         suffix, vocab = self.split and self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that only a word's last piece has
         if suffix:
@@ -357,23 +357,9 @@ class WordEncoder:
         parts = (texts[a:b] for a, b in zip(cuts, cuts[1:]))
         units = pa.chunked_array([split_units(("\0".join(p) + "\0").encode("latin-1").translate(_LOWER_BYTES)) for p in parts]).dictionary_encode()
         # the last chunk's dictionary has all units; earlier ones may lack some
-        distinct = units.chunk(units.num_chunks - 1).dictionary.to_numpy(zero_copy_only=False).tolist()
-        stop = distinct.index(b"\0")
-        found = list(map(self.known.get, distinct))
-        found[stop] = np.array([end], "<u4").tobytes()
-        absent = [i for i, ids in enumerate(found) if ids is None]
-        for i in absent:
-            found[i] = self.older.get(distinct[i])
-        new = [i for i in absent if found[i] is None]
-        for i, ids in zip(new, self._merge([distinct[i] for i in new]), strict=True):
-            found[i] = ids
-        room = self.most // 2
-        if len(self.known) + len(absent) > room:
-            self.older, self.known = self.known, {}
-        self.known.update(islice(((distinct[i], found[i]) for i in absent if len(distinct[i]) <= 64), room - len(self.known)))
-        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        firsts = np.cumsum(lengths, dtype=np.int32) - lengths
-        flat = np.frombuffer(b"".join(found), "<u4")
+        distinct = units.chunk(units.num_chunks - 1).dictionary
+        stop = pc.index(distinct, b"\0").as_py()
+        flat, firsts, lengths = self._ids(distinct, stop, end)
         for chunk in units.chunks:
             codes = chunk.indices.to_numpy()
             n = lengths[codes]
@@ -382,8 +368,38 @@ class WordEncoder:
             at += np.arange(len(at), dtype=np.int32)
             yield from np.split(flat[at], after[codes == stop][:-1])
 
-    def _merge(self, words: list[bytes], size: int = 1000) -> Iterator[bytes]:
-        """The ids of lower-cased words, by the library, some words at a time. Its fast
+    def _ids(self, distinct: pa.BinaryArray, stop: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, firsts, lengths): where among ids those of each word begin, and how many
+        there are. The word at ``stop`` has the id end. New words are merged and kept."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy()
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        new = new[new != stop]
+        words = distinct.take(pa.array(new))
+        parts = [*self._merge(words.to_numpy(zero_copy_only=False).tolist()), (np.zeros(0, "<u4"), np.zeros(0, np.int32))]
+        merged, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lengths, firsts = np.ones(len(distinct), np.int32), np.zeros(len(distinct), np.int32)
+        lengths[old], lengths[new] = self.lengths[at[old]], counts
+        firsts[old] = (np.cumsum(self.lengths, dtype=np.int32) - self.lengths)[at[old]]
+        firsts[new] = len(self.ids) + np.cumsum(counts, dtype=np.int32) - counts
+        firsts[stop] = len(self.ids) + len(merged)
+        flat = np.concatenate((self.ids, merged, np.array([end], "<u4")))
+
+        self.groups += 1
+        self.met[at[old]] = self.groups
+        short = pc.binary_length(words).to_numpy() <= 64
+        self.known = pa.concat_arrays([self.known, words.filter(pa.array(short))])
+        self.ids = np.concatenate((self.ids, merged[np.repeat(short, counts)]))
+        self.lengths = np.concatenate((self.lengths, counts[short]))
+        self.met = np.concatenate((self.met, np.full(short.sum(), self.groups, np.int32)))
+        if len(self.known) > self.most:
+            keep = np.zeros(len(self.known), bool)
+            keep[np.argsort(-self.met, kind="stable")[: self.most // 2]] = True
+            self.known, self.ids = self.known.filter(pa.array(keep)), self.ids[np.repeat(keep, self.lengths)]
+            self.lengths, self.met = self.lengths[keep], self.met[keep]
+        return flat, firsts, lengths
+
+    def _merge(self, words: list[bytes], size: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, how many each has) of lower-cased words, by the library, some at a time. Its fast
         way doesn't say which word an id is of: where not every word ends in an id of
         ``last`` the other way does."""
         for at in range(0, len(words), size):
@@ -394,8 +410,7 @@ class WordEncoder:
             if len(stops) != len(some):
                 merged = self.merger.encode(marked, add_special_tokens=False)
                 ids, stops = np.array(merged.ids, "<u4"), np.cumsum(np.bincount(merged.word_ids, minlength=len(some)))
-            raw, stops = ids.tobytes(), (4 * stops).tolist()
-            yield from (raw[a:b] for a, b in zip([0, *stops], stops))
+            yield ids, np.diff(stops, prepend=0).astype(np.int32)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
