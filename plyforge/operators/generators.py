@@ -13,6 +13,7 @@ from ..functions import chess
 from ..functions.chess_udfs import _position
 from ..functions.keys import example_identity, hash_order
 from ..functions.protocol import valid_fen, variant_key
+from ..functions.traces import verification_cases
 from ..ship import ship
 from ..store import spread, stash
 from .decontaminate import ROW_FEN, block_keys
@@ -36,6 +37,7 @@ SYSTEM_PROMPT = (
     "You are a chess reasoning engine. You understand chess positions in FEN notation and express all moves in UCI notation "
     "(e.g., e2e4, g1f3, a7a8q for promotion). When analyzing positions, think step by step."
 )
+STEPS = "7.9_step_verification"
 # Fixed values end.
 
 _FOUND = "array<struct<task:string,answer:string,fields:map<string,string>>>"
@@ -166,6 +168,17 @@ def _without_blocked_answers(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return held.filter(F.size("_fens") == 0).drop("_fens").unionByName(clean.drop("_fens"))
 
 
+def step_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the task that looks for a trace's broken line, as task_rows gives rows:
+    one for each fault that can be put into a trace among task_rows' rows, and one for
+    the trace as it is. fields hold the trace, numbered, and the verifier's label."""
+    cases = verification_cases(rows)
+    names = ("displayed_trace", "verification_trace", "corruption_kind", "difficulty", "verification_verdict", "faulty_line", "error_type", "correction", "expected_answer")
+    fields = F.create_map(F.lit("source_task"), F.col("task"), F.lit("source_trace"), F.col("answer"), *[x for c in names for x in (F.lit(c), F.col(c))])
+    told = cases.select(F.lit(STEPS).alias("task"), F.lit(7).alias("tier"), "fen", "is_chess960", "pos_key", "choice", F.col("expected_answer").alias("answer"), fields.alias("fields"))
+    return told.withColumn("example_identity", identity(F.col("task"), F.col("pos_key"), F.col("fields")))
+
+
 def training_rows(rows: DataFrame, templates: DataFrame, contracts: DataFrame | None = None, seed: int = 42, system: str = SYSTEM_PROMPT) -> DataFrame:
     """(task, tier, fen, is_chess960, messages, metadata) of task_rows' rows: the prompt
     is one of the task's templates(task, template), drawn by a hash of seed and

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import traces as T
 from ..functions.answers import TASKS
+from ..functions.chess_udfs import legal_moves, play_move
 from ..operators import eval_splits as E
 from ..operators import generators as G
 from ..operators import reports as R
@@ -12,6 +15,7 @@ from ..operators import validate as V
 from ..sources import rule_boards as RB
 from ..sources import sampling as S
 from ..functions import protocol as P
+from ..store import spread
 from . import boards as BD
 from .catalog import SEED, query, table
 
@@ -90,12 +94,34 @@ def safe_links(spark, sf):
     return rows.select("page_id", "href", S.safe_dir(F.col("href")).alias("folder"), S.safe_file(F.col("href")).alias("file"))
 
 
+def _known(own: DataFrame) -> DataFrame:
+    """The boards with ``extra``: what an engine, a tablebase, a puzzle, a game and an
+    opening book would add, made up from a board's legal moves and a hash. Values are
+    any; moves can be played."""
+    own = spread(own).withColumn("_moves", legal_moves(F.col("fen"))).withColumn("_best", F.get("_moves", F.lit(0)))
+    own = own.withColumn("_line", F.concat_ws(" ", "_best", F.get(legal_moves(play_move(F.col("fen"), F.col("_best"))), F.lit(0))))
+    moves, best, line, n = F.col("_moves"), F.col("_best"), F.col("_line"), F.pmod(F.xxhash64(F.lit(SEED), "fen"), F.lit(1201)).cast("int")
+    mate = F.when(n % 7 == 0, n % 5 + 1)
+    rated = F.transform(F.slice(moves, 1, 5), lambda m, i: F.struct(
+        m.alias("uci"), F.when((i > 0) | mate.isNull(), n - 600 - 90 * i).alias("cp"), F.when(i == 0, mate).alias("mate"), F.when(i == 0, line).otherwise(m).alias("pv"),
+    ))
+    extra = {
+        "solution_first_move": best, "themes": F.array(F.lit("fork"), F.lit("mateIn2")), "rating": F.lit(1500),
+        "best_move": best, "pv_line": line, "cp": F.when(mate.isNull(), n - 600), "mate": mate, "candidate_ratings": rated, "wdl": n % 5 - 2,
+        "move_played_uci": best, "move_history": F.lit("e2e4 e7e5"), "game_id": F.lit("g"), "ply": F.lit(3),
+        "name": F.lit("Test Opening: Line"), "eco": F.lit("C20"), "uci_moves": F.lit("e2e4 e7e5"), "book_moves": F.transform(F.slice(moves, 1, 3), lambda m, i: F.array(m, (3 - i).cast("string"))),
+    }
+    return own.select("fen", F.to_json(F.struct(*[c.alias(k) for k, c in extra.items()])).alias("extra"))
+
+
 @query()
 def validated_rows(spark, sf):
-    """Rows of every task that needs no engine, generated and checked; none is wrong."""
-    own = BD.boards(spark, sf, "supplier", "s_suppkey").select("fen").distinct()
-    rows = G.task_rows(own, sorted(t for t in TASKS if t[0] in "123"))
-    made = G.training_rows(rows, spark.createDataFrame([(t, "FEN: {fen}") for t in TASKS], "task string, template string"))
+    """Rows of every task made from a position, those that need an engine and those that
+    verify traces too, generated and checked; none is wrong."""
+    own = _known(BD.boards(spark, sf, "supplier", "s_suppkey").select("fen").distinct())
+    rows = G.task_rows(own, sorted(TASKS)).unionByName(G.step_rows(G.task_rows(own, sorted(T.CASES))))
+    templates = [(t, "FEN: {fen}") for t in TASKS] + [(G.STEPS, "FEN: {fen}\nTrace to verify:\n{verification_trace}")]
+    made = G.training_rows(rows, spark.createDataFrame(templates, "task string, template string"))
     return V.row_errors(made).groupBy("task").agg(F.count("*").alias("n"), F.count_if(F.size("errors") > 0).alias("wrong"))
 
 

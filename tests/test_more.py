@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import answers as A
 from plyforge.functions import chess as C
+from plyforge.functions import traces as T
 from plyforge.operators import eval_splits as E
 from plyforge.operators import generators as G
 from plyforge.operators import reports as R
 from plyforge.operators import validate as V
+from plyforge.plans import boards as BD
+from plyforge.plans import reports
 from plyforge.sources import sampling as S
 from plyforge.streaming import append, games
 
@@ -45,6 +48,25 @@ def test_changed_rows_are_not(spark):
     assert all({"missing_messages", "missing_assistant_answer"} <= e for e in errors(empty).values())
 
 
+def test_every_task_is_validated(spark, tmp_path):
+    spark.range(12, 36).selectExpr("nullif(id, 20) as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    boards = BD.boards(spark, str(tmp_path), "supplier", "s_suppkey").select("fen").distinct().count()
+    got = {r["task"]: (r["n"], r["wrong"]) for r in reports.validated_rows(spark, str(tmp_path)).collect()}
+    assert set(got) == {*A.TASKS, G.STEPS} and all(wrong == 0 for _, wrong in got.values())
+    assert {got[t][0] for t in ("1.1_fen_to_board", "4.1_material_balance", "4.3_pawn_structure", "6.1_endgame_classification", "6.4_endgame_principles", "7.10_best_line_trace")} == {boards}
+
+
+def test_rows_of_broken_traces(spark):
+    rows = G.step_rows(G.task_rows(spark.createDataFrame([(MID, EXTRA)], "fen string, extra string"), sorted(T.CASES)))
+    kinds = {(r["fields"]["source_task"], r["fields"]["corruption_kind"]): r["answer"] for r in rows.collect()}
+    assert len(kinds) == rows.select("example_identity").distinct().count() == rows.count() and {t for t, _ in kinds} == {"1.18_material_balance_trace", "7.8_candidate_ratings"}
+    assert kinds["1.18_material_balance_trace", "material_balance_sound"].startswith("Verdict: sound\nFaulty line: none")
+    made = G.training_rows(rows, spark.createDataFrame([(G.STEPS, "{verification_trace}")], "task string, template string"))
+    assert V.row_errors(made).filter("size(errors) > 0").count() == 0
+    other = made.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, v: k != "correction"), F.create_map(F.lit("correction"), F.lit("x"))))
+    assert {tuple(r["errors"]) for r in V.row_errors(other).collect()} == {("answer_differs_from_expected",)}
+
+
 def test_losses_and_rates(spark):
     rng = random.Random(1)
     rows = [(f"g{i % 3}", float(rng.choice((0, 0, 5, 17, rng.randint(0, 1000))))) for i in range(500)] + [("g0", None)]
